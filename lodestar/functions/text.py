@@ -60,11 +60,14 @@ def digit_runs(text: Column) -> Column:
 def substrings(runs: Column, lengths: Sequence[int]) -> Column:
     """Distinct substrings of the given lengths of the strings in an array."""
 
-    def cut(run: Column, size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda start: F.substring(run, start, F.lit(size)))
+    def cut(size: int) -> Column:
+        def of(run: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.length(run) - size + 1)
+            return F.transform(starts, lambda start: F.substring(run, start, F.lit(size)))
 
-    per_length = [F.flatten(F.transform(runs, lambda run, s=size: cut(run, s))) for size in lengths]
+        return F.flatten(F.transform(F.filter(runs, lambda run: F.length(run) >= size), of))
+
+    per_length = [cut(size) for size in lengths]
     return F.array_distinct(F.concat(*per_length))
 
 

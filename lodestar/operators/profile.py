@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,16 +22,16 @@ from lodestar.settings import BROADCAST_ROWS, RENDERED_NUMBERS, TOP_VALUES
 TEXT, NUMBER, BOOLEAN = 0, 1, 2
 
 
-def frame_cells(df: DataFrame) -> DataFrame:
-    """Cells ``(col_pos, kind, num, txt)`` of a typed table: one row per row and column."""
-    cells = [_cell(i, field) for i, field in enumerate(df.schema.fields)]
-    return df.select(F.inline(F.array(*cells)))
+def frame_cells(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """Cells ``(keys, col_pos, kind, num, txt)`` of a typed table: one row per row and column."""
+    fields = [df.schema[name] for name in (columns or df.columns)]
+    return df.select(*keys, F.inline(F.array(*[_cell(i, field) for i, field in enumerate(fields)])))
 
 
-def frame_columns(df: DataFrame) -> DataFrame:
-    """Names ``(col_pos, column)`` of a table."""
-    rows = [(i, name) for i, name in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(rows, "col_pos BIGINT, column STRING")
+def named_columns(owners: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Owners, each with all columns of a table by position: ``(owner, col_pos, column)``."""
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("col_pos"), F.lit(n).alias("column")) for i, n in enumerate(names)])
+    return owners.select("*", F.inline(listed))
 
 
 def _cell(position: int, field: T.StructField) -> Column:
@@ -257,7 +256,8 @@ def profile(f: Frequencies, columns: DataFrame, top_n: int = TOP_VALUES) -> Data
 
 def profile_frame(df: DataFrame, top_n: int = TOP_VALUES) -> DataFrame:
     """Profile of a typed table."""
-    return profile(ranged(frequencies(frame_cells(df), ["col_pos"]), ["col_pos"]), frame_columns(df), top_n)
+    one = df.sparkSession.range(1).select()
+    return profile(ranged(frequencies(frame_cells(df), ["col_pos"]), ["col_pos"]), named_columns(one, df.columns), top_n)
 
 
 def profile_cells(cells: DataFrame, keys: Sequence[str], columns: DataFrame, top_n: int = TOP_VALUES) -> DataFrame:
@@ -298,6 +298,3 @@ def rendered() -> Column:
     )
     return F.when(F.col("count") > 0, F.when(F.col("numeric"), numeric).otherwise(categorical))
 
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

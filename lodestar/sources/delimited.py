@@ -51,8 +51,12 @@ def file_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     meta = F.col("_metadata")
     text = spark.read.option("recursiveFileLookup", "true").text(paths)
     line = F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "")
-    order = F.struct(meta["file_block_start"], F.monotonically_increasing_id())
-    first = text.groupBy(meta["file_path"].alias("uri")).agg(F.min_by(line, order).alias("line"))
+    numbered = text.select(
+        meta["file_path"].alias("uri"),
+        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
+        line.alias("line"),
+    )
+    first = numbered.groupBy("uri").agg(F.min_by("line", "place").alias("line"))
     separator = F.when(F.contains("line", F.lit("\t")), F.lit("\t")).when(F.contains("line", F.lit(",")), F.lit(","))
     return first.withColumn("separator", separator).select(
         local_path(F.col("uri")).alias("path"),
