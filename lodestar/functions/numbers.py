@@ -40,11 +40,11 @@ def fixed(value: Column, digits: int) -> Column:
 def float_text(value: Column) -> Column:
     """Shortest text of a double: plain from 1e-4 up to 1e16, else with an exponent."""
     text = value.cast("string")
-    plain = F.abs(value).between(1e-3, 9999999.0) | (value == 0)
+    plain = ~F.contains(text, F.lit("E"))
     sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     mantissa = F.regexp_extract(text, r"^-?([0-9.]+)E", 1)
     digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
     whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
     rest = F.substring(digits, exponent + 2, F.lit(20))
     large = F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))

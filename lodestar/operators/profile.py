@@ -58,10 +58,12 @@ def frequencies(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 def text_frequencies(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Value frequencies of text cells; columns that hold only numbers get numeric values.
 
-    Types are decided on the distinct values, and only one row per column is needed for it.
+    Types are decided on the distinct values. Their table has one row per column and is joined by
+    broadcast within the bound, so that a column with most of the values is not sent to one task.
     """
     raw = cells.groupBy(*keys, F.col(value).alias("raw")).agg(F.count("*").alias("n"))
-    typed = raw.join(column_kinds(raw, keys), list(keys))
+    kinds = written(column_kinds(raw, keys), "kinds")
+    typed = raw.join(broadcast_within(kinds, kinds.count(), BROADCAST_ROWS), list(keys))
     is_text = F.col("kind") == TEXT
     number = F.when(F.col("kind") == BOOLEAN, F.col("raw").isin(*TRUE_WORDS).cast("double")).otherwise(as_number(F.col("raw")))
     return (
@@ -176,15 +178,21 @@ def medians(f: Frequencies) -> DataFrame:
 
 
 def deviations(f: Frequencies) -> DataFrame:
-    """Sample standard deviation ``(keys, std)``, 0 for a single value, taken around the mean."""
+    """Sample standard deviation ``(keys, std)``, 0 for a single value, taken around the mean.
+
+    The mean is joined by column and range, so that also a shuffled join has parts of even size.
+    """
     keys = list(f.keys)
-    means = counts(f).where(F.col("kind") != TEXT).select(*keys, "mean")
+    whole = Window.partitionBy(*keys)
+    means = f.ranges.where(F.col("bucket") >= 0).select(
+        *keys, "bucket", (F.sum("total").over(whole) / F.sum("count").over(whole)).alias("mean")
+    )
     squares = F.sum(F.col("n") * F.pow(F.col("num") - F.col("mean"), 2))
     total = F.sum("n")
     return (
         f.table.where(F.col("num").isNotNull())
-        .select(*keys, "num", "n")
-        .join(broadcast_within(means, f.range_rows, BROADCAST_ROWS), keys)
+        .select(*keys, "bucket", "num", "n")
+        .join(broadcast_within(means, f.range_rows, BROADCAST_ROWS), [*keys, "bucket"])
         .groupBy(*keys)
         .agg(F.when(total > 1, F.sqrt(squares / (total - 1))).otherwise(0.0).alias("std"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import kept_tokens, number_tokens, substrings, with_bigrams, word_tokens
+from lodestar.operators.corpus import entry_type_of
 from lodestar.operators.index import (
     NUMBER,
     TERM,
@@ -29,6 +30,7 @@ SALTS = 32
 class QuestionShape:
     """What one pass over the questions says about them; all of it is small by nature."""
 
+    questions: int
     features: int
     number_lengths: tuple[int, ...]
     buckets: tuple[int, ...]
@@ -82,13 +84,14 @@ def measure(questions: DataFrame, index: SearchIndex) -> QuestionShape:
     row = (
         _raw_features(questions, index)
         .agg(
+            F.count_distinct("query_id").alias("questions"),
             F.count("*").alias("features"),
             F.collect_set(F.when(F.col("kind") == NUMBER, F.length("feature"))).alias("lengths"),
             F.collect_set(feature_bucket(F.col("feature"))).alias("buckets"),
         )
         .first()
     )
-    return QuestionShape(row.features, tuple(sorted(row.lengths)), tuple(sorted(row.buckets)))
+    return QuestionShape(row.questions, row.features, tuple(sorted(row.lengths)), tuple(sorted(row.buckets)))
 
 
 def _sought_features(index: SearchIndex, shape: QuestionShape) -> DataFrame:
@@ -109,7 +112,12 @@ def _sought_features(index: SearchIndex, shape: QuestionShape) -> DataFrame:
     return features.select("ord", "kind", F.explode(single).alias("feature"), "weight")
 
 
-def score_pairs(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+def score_pairs(
+    index: SearchIndex,
+    questions: DataFrame,
+    settings: RankSettings = RankSettings(),
+    shape: QuestionShape | None = None,
+) -> DataFrame:
     """Scores ``(query_id, ord, sim, overlap, boost, score)`` of all pairs that share a feature.
 
     A pair that shares none scores 0. Similarity, overlap and number boost are sums over shared
@@ -117,7 +125,7 @@ def score_pairs(index: SearchIndex, questions: DataFrame, settings: RankSettings
     go to the entries; as those are clustered by entry, pairs are added up where they arise and
     are not shuffled. More questions are joined by shuffle, each feature split into salted parts.
     """
-    shape = measure(questions, index)
+    shape = shape or measure(questions, index)
     sought = _sought_features(index, shape)
     asked = question_features(questions, index)
     if shape.features <= settings.broadcast_rows:
@@ -140,45 +148,56 @@ def score_pairs(index: SearchIndex, questions: DataFrame, settings: RankSettings
     return sums.select("query_id", "ord", "sim", "overlap", "boost", blended.alias("score"))
 
 
-def top_hits(pairs: DataFrame, entries: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
-    """Best entries per question and entry type, with their rank from 1; ties in entry order."""
-    is_dataset = F.col("entry_type") == "dataset"
-    limit = F.when(is_dataset, settings.top_datasets).otherwise(settings.top_publications)
+def top_pairs(pairs: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+    """Best pairs per question and entry type, with their rank from 1; ties in entry order."""
+    limit = F.when(F.col("entry_type") == "dataset", settings.top_datasets).otherwise(settings.top_publications)
     order = Window.partitionBy("query_id", "entry_type").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "ord")
     bound = max(settings.top_datasets, settings.top_publications)
-    ranked = (
+    return (
         pairs.where(F.col("score") >= settings.threshold)
         .withColumn("entry_type", entry_type_of(F.col("ord")))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= bound)
         .where(F.col("rank") <= limit)
     )
-    return ranked.join(entries.select("ord", "key"), "ord").select(
-        "query_id", "entry_type", "rank", "ord", "key", "score", "sim", "overlap"
-    )
 
 
-def entry_type_of(ord: Column) -> Column:
-    from lodestar.operators.corpus import PUBLICATION_OFFSET
+def search(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+    """Ranked hits ``(query_id, entry_type, rank, ord, key, score, sim, overlap)``.
 
-    return F.when(ord >= F.lit(PUBLICATION_OFFSET), F.lit("publication")).otherwise(F.lit("dataset"))
+    Hits are few per question, so they are what is sent to the entries to find their keys.
+    """
+    shape = measure(questions, index)
+    best = top_pairs(score_pairs(index, questions, settings, shape), settings)
+    most = shape.questions * (settings.top_datasets + settings.top_publications)
+    return (
+        index.entries.select("ord", "key")
+        .join(broadcast_within(best, most, settings.broadcast_rows), "ord")
+        .select("query_id", "entry_type", "rank", "ord", "key", "score", "sim", "overlap")
+    )
 
 
-def search(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
-    """Ranked hits ``(query_id, entry_type, rank, ord, key, score, sim, overlap)``."""
-    return top_hits(score_pairs(index, questions, settings), index.entries, settings)
+def dataset_hits(hits: DataFrame, catalog: DataFrame, hit_rows: int) -> DataFrame:
+    """Hits on datasets with the dataset's fields, NULL where the catalogue lacks it.
+
+    ``hit_rows`` is a bound on the rows of ``hits``: within the broadcast bound the catalogue is
+    cut down to the datasets hit where it is read.
+    """
+    of_type = hits.where(F.col("entry_type") == "dataset")
+    found = only_hit(catalog.drop("pos"), of_type.select(F.col("key").alias("dataset")), hit_rows)
+    return of_type.join(found.withColumnRenamed("dataset", "key"), "key", "left")
 
 
-def dataset_hits(hits: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Hits on datasets with the dataset's fields, NULL where the catalogue lacks it."""
-    fields = catalog.withColumnRenamed("dataset", "key").drop("pos")
-    return hits.where(F.col("entry_type") == "dataset").join(fields, "key", "left")
+def only_hit(table: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """Rows of a table of datasets that are among the wanted ones, of which there are ``rows``."""
+    return table.join(broadcast_within(wanted.distinct(), rows, BROADCAST_ROWS), "dataset", "left_semi")
 
 
-def publication_hits(hits: DataFrame, publications: DataFrame) -> DataFrame:
+def publication_hits(hits: DataFrame, publications: DataFrame, hit_rows: int) -> DataFrame:
     """Hits on publications with title and link; hits outside the list are dropped."""
     listed = publications.select(F.concat(F.lit("pub_"), F.col("pos").cast("string")).alias("key"), "title", "link")
-    return hits.where(F.col("entry_type") == "publication").join(listed, "key")
+    of_type = hits.where(F.col("entry_type") == "publication")
+    return listed.join(broadcast_within(of_type, hit_rows, BROADCAST_ROWS), "key").select(*hits.columns, "title", "link")
 
 
 def candidate_list(datasets: DataFrame, publications: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,19 @@ from lodestar.operators.answers import (
 )
 from lodestar.operators.context import StudyFiles, combined_contexts, dataset_contexts
 from lodestar.operators.index import SearchIndex
-from lodestar.operators.ranking import dataset_hits, publication_hits, search
+from lodestar.operators.ranking import dataset_hits, only_hit, publication_hits, search
 from lodestar.operators.urls import gathered
-from lodestar.session import written
-from lodestar.settings import RankSettings
+from lodestar.session import broadcast_within, written
+from lodestar.settings import BROADCAST_ROWS, RankSettings
+
+
+@dataclass(frozen=True)
+class Hits:
+    """Ranked hits, written once as many steps read them, with the fields of what was hit."""
+
+    datasets: DataFrame
+    publications: DataFrame
+    rows: int
 
 
 def hits_of(
@@ -30,21 +40,21 @@ def hits_of(
     catalog: DataFrame,
     publications: DataFrame,
     settings: RankSettings = RankSettings(),
-) -> tuple[DataFrame, DataFrame]:
-    """Dataset and publication hits; ranked once and written, as many steps read them."""
+) -> Hits:
     hits = written(search(index, questions, settings), "hits")
-    return dataset_hits(hits, catalog), publication_hits(hits, publications)
+    rows = hits.count()
+    return Hits(dataset_hits(hits, catalog, rows), publication_hits(hits, publications, rows), rows)
 
 
 # Gives the study files of the datasets in a table ``(dataset)``.
 StudySource = Callable[[DataFrame], StudyFiles]
 
 
-def contexts_of_hits(datasets: DataFrame, catalog: DataFrame, study: StudySource | None) -> DataFrame:
+def contexts_of_hits(hits: Hits, catalog: DataFrame, study: StudySource | None) -> DataFrame:
     """Contexts of the datasets that were hit; the others are left out before any work on them."""
-    wanted = datasets.select(F.col("key").alias("dataset")).distinct()
-    hit = catalog.join(wanted, "dataset", "left_semi")
-    return dataset_contexts(hit, None if study is None else study(wanted))
+    wanted = written(hits.datasets.select(F.col("key").alias("dataset")).distinct(), "wanted")
+    study_files = None if study is None else study(broadcast_within(wanted, hits.rows, BROADCAST_ROWS))
+    return dataset_contexts(only_hit(catalog, wanted, hits.rows), study_files)
 
 
 def prompt_table(questions: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -95,8 +105,9 @@ def ask(
     batch consumer of the prompt table. A question without one gets the rule-based summary; its
     recommended links are then those of its datasets.
     """
-    datasets, papers = hits_of(index, questions, catalog, publications, settings)
-    contexts = written(contexts_of_hits(datasets, catalog, study), "contexts")
+    hits = hits_of(index, questions, catalog, publications, settings)
+    datasets, papers = hits.datasets, hits.publications
+    contexts = written(contexts_of_hits(hits, catalog, study), "contexts")
     combined = combined_contexts(questions, datasets, papers, contexts)
     given = parse_answers(answers)
     used = used_lists(questions, datasets, papers)

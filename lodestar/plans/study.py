@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.context import StudyFiles, cell_preview_texts, first_rows, preview_texts
 from lodestar.operators.profile import frame_cells, frequencies, named_columns, profile, profile_cells, ranged
-from lodestar.session import written
-from lodestar.settings import PREVIEW_ROWS
+from lodestar.session import broadcast_within, written
+from lodestar.settings import BROADCAST_ROWS, PREVIEW_ROWS
 from lodestar.sources.catalog import catalog_files, existing_paths, mark_missing
 from lodestar.sources.delimited import raw_heads, read_delimited
 
@@ -64,7 +64,8 @@ def table_previews(tables: Sequence[StudyTable]) -> DataFrame:
 def table_study(files: DataFrame, tables: Sequence[StudyTable], wanted: DataFrame | None = None) -> StudyFiles:
     """Study files held as Spark tables; ``files`` also lists those that are missing.
 
-    Given the datasets that are wanted, rows of others leave before anything is computed on them.
+    Given the datasets ``(dataset)`` that are wanted, rows of others leave before anything is
+    computed on them.
     """
     if wanted is not None:
         files = files.join(wanted, "dataset", "left_semi")
@@ -88,6 +89,7 @@ def file_study(
     )
     files = written(named, "files")
     slots = files.where(~F.col("missing")).select("dataset", "file_pos", "path")
+    slots = broadcast_within(slots, files.count(), BROADCAST_ROWS)
     cells = written(read_delimited(spark, root, analysis_rows, multi_line).join(slots, "path"), "cells")
     head_cells = read_delimited(spark, root, PREVIEW_ROWS, multi_line).join(slots, "path")
     columns = cells.select(*KEYS, "column").distinct()

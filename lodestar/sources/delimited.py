@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import head, null_missing
-from lodestar.session import ordered_join, written
-from lodestar.settings import HEAD_CHARS, PREVIEW_ROWS
+from lodestar.session import broadcast_within, ordered_join, written
+from lodestar.settings import BROADCAST_ROWS, HEAD_CHARS, PREVIEW_ROWS
 from lodestar.sources.catalog import local_path
 
 CELLS_SCHEMA = "path STRING, row_pos BIGINT, col_pos BIGINT, column STRING, value STRING"
@@ -115,7 +115,7 @@ def _cells(spark: SparkSession, tables: DataFrame, group, analysis_rows: int | N
         # times 2^33 plus the row, so the two orders agree within a file.
         rows = rows.withColumn("row_pos", F.col("seq"))
     return (
-        rows.join(usable, "path")
+        rows.join(broadcast_within(usable, len(group.paths), BROADCAST_ROWS), "path")
         .select("path", F.col("row_pos").cast("long").alias("row_pos"), "names", F.posexplode("cells").alias("col_pos", "cell"))
         .where(F.col("col_pos") < F.size("names"))
         .select(
@@ -136,8 +136,8 @@ def preview_rows(spark: SparkSession, paths: Sequence[str] | str, rows: int = PR
 def raw_heads(spark: SparkSession, paths: Sequence[str] | str, chars: int = HEAD_CHARS) -> DataFrame:
     """First characters ``(path, text)`` of each file below the paths, read as text.
 
-    A line takes one character at least, so the head needs no more lines than characters; no file
-    is held whole.
+    A line takes one character at least, so the head needs no more lines than characters; the
+    other lines are dropped where they are read, and no file is held whole.
     """
     meta = F.col("_metadata")
     lines = (
@@ -150,11 +150,11 @@ def raw_heads(spark: SparkSession, paths: Sequence[str] | str, chars: int = HEAD
             F.substring("value", 1, chars).alias("line"),
         )
     )
-    order = Window.partitionBy("path").orderBy("seq")
+    firsts = written(lines.groupBy("path").agg(F.min("seq").alias("first")), "firsts")
     return (
-        lines.withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= chars)
+        lines.join(broadcast_within(firsts, firsts.count(), BROADCAST_ROWS), "path")
+        .where(F.col("seq") < F.col("first") + chars)
         .groupBy("path")
-        .agg(F.collect_list(F.struct("n", "line")).alias("lines"))
+        .agg(F.collect_list(F.struct("seq", "line")).alias("lines"))
         .select("path", head(ordered_join(F.col("lines"), "\n", "line"), chars).alias("text"))
     )

@@ -255,9 +255,8 @@ def suggest_searches(t: Tables) -> DataFrame:
 
 @query
 def candidate_list(t: Tables) -> DataFrame:
-    hits = rk.search(t.index(), t.questions())
-    listed = rk.candidate_list(hits.where(F.col("entry_type") == "dataset"), rk.publication_hits(hits, t.publications()))
-    return shown(listed)
+    hits = _all_hits(t)
+    return shown(rk.candidate_list(hits.datasets, hits.publications))
 
 
 # Index
@@ -357,14 +356,13 @@ def rank_no_vocab(t: Tables) -> DataFrame:
 
 @query
 def search_publications(t: Tables) -> DataFrame:
-    hits = rk.publication_hits(rk.search(t.index(), t.questions()), t.publications())
+    hits = _all_hits(t).publications
     return shown(hits.select("query_id", "rank", "title", "link", "score", "sim", "overlap"))
 
 
 @query
 def search_datasets(t: Tables) -> DataFrame:
-    catalog = t.catalog()
-    hits = rk.dataset_hits(rk.search(t.index(), t.questions()), catalog)
+    hits = _all_hits(t).datasets
     return shown(hits.select("query_id", "rank", "key", "organism", F.array_join("assay_types", " ").alias("assay_types"), "description", "score"))
 
 
@@ -501,32 +499,30 @@ def dataset_details(t: Tables) -> DataFrame:
     return _context_row(cx.dataset_details(t.warehouse_catalog(), "web", t.warehouse_study("web")))
 
 
-def _hit_contexts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    catalog = t.catalog()
-    datasets, papers = plan.hits_of(t.index(), t.questions(), catalog, t.publications())
-    return datasets, papers, plan.contexts_of_hits(datasets, catalog, t.label_study)
+def _all_hits(t: Tables) -> plan.Hits:
+    return plan.hits_of(t.index(), t.questions(), t.catalog(), t.publications())
 
 
 @query
 def combined_context(t: Tables) -> DataFrame:
-    datasets, papers, contexts = _hit_contexts(t)
-    return cx.combined_contexts(t.questions(), datasets, papers, contexts)
+    hits = _all_hits(t)
+    contexts = plan.contexts_of_hits(hits, t.catalog(), t.label_study)
+    return cx.combined_contexts(t.questions(), hits.datasets, hits.publications, contexts)
 
 
 @query
 def prompt_table(t: Tables) -> DataFrame:
-    datasets, papers, contexts = _hit_contexts(t)
-    return plan.prompt_table(t.questions(), cx.combined_contexts(t.questions(), datasets, papers, contexts))
+    return plan.prompt_table(t.questions(), REGISTRY["combined_context"](t.spark, t.folder))
 
 
 @query
 def recommended_urls(t: Tables) -> DataFrame:
     """Links of hits and answers, with the answer's links first."""
     catalog = t.catalog().withColumn("description", F.concat("description", F.lit(" http://docs.example/"), "organism"))
-    datasets, papers = plan.hits_of(t.index(), t.questions(), catalog, t.publications())
-    contexts = plan.contexts_of_hits(datasets, catalog, None)
+    hits = plan.hits_of(t.index(), t.questions(), catalog, t.publications())
+    contexts = plan.contexts_of_hits(hits, catalog, None)
     given = an.parse_answers(t.answers())
-    urls = an.recommended_urls(datasets, papers, contexts, given, datasets_first=False)
+    urls = an.recommended_urls(hits.datasets, hits.publications, contexts, given, datasets_first=False)
     return shown(urls.select("query_id", "url", "place.source", "place.rank", "place.pos"))
 
 
