@@ -11,12 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import digit_runs, kept_tokens, with_bigrams, word_tokens
-from lodestar.session import broadcast_within
+from lodestar.functions.text import digit_runs, kept_tokens, neighbours, with_bigrams, word_tokens
+from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, IndexSettings
 
-# Kinds of features an entry and a question can share.
-TERM, WORD, NUMBER = 0, 1, 2
 FEATURE_BUCKETS = 64
 
 
@@ -24,14 +22,16 @@ FEATURE_BUCKETS = 64
 class SearchIndex:
     """Tables of an index.
 
-    entries: ``(ord, key, entry_type)``. vocabulary: ``(term, df, total, idf)``.
-    features: ``(ord, kind, feature, weight)`` with the weighted terms and the words of each entry,
-    and one row with all its digit runs, separated by blanks.
+    entries: ``(ord, key, entry_type)``. vocabulary: ``(term, df, total, idf)``. terms:
+    ``(ord, term, weight)``. words: ``(ord, word)``, each word of an entry once. runs:
+    ``(ord, runs)``, the digit runs of each entry.
     """
 
     entries: DataFrame
     vocabulary: DataFrame
-    features: DataFrame
+    terms: DataFrame
+    words: DataFrame
+    runs: DataFrame
     settings: IndexSettings
 
 
@@ -46,84 +46,79 @@ def by_entry(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(partitions, "ord")
 
 
+# In the next three functions each array is a step of its own: an array that a later expression
+# uses twice is then computed once.
+
+
+def _tokens(texts: DataFrame, key: str, settings: IndexSettings) -> DataFrame:
+    return texts.select(key, kept_tokens(F.col("text"), settings.stop_words).alias("tokens"))
+
+
 def terms(texts: DataFrame, key: str, settings: IndexSettings) -> DataFrame:
     """Every term occurrence ``(key, term)``: kept words and pairs of neighbours."""
-    tokens = texts.select(key, kept_tokens(F.col("text"), settings.stop_words).alias("tokens"))
-    return tokens.select(key, F.explode(with_bigrams(F.col("tokens"))).alias("term"))
+    return _tokens(texts, key, settings).select(key, F.explode(with_bigrams(F.col("tokens"))).alias("term"))
 
 
 def term_frequencies(texts: DataFrame, key: str, settings: IndexSettings) -> DataFrame:
     return terms(texts, key, settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _totals(occurrences: DataFrame, *term: str) -> DataFrame:
+    """Document frequency and total count of terms ``(ord, *term)``, clustered by entry."""
+    per_entry = occurrences.groupBy("ord", *term).agg(F.count("*").alias("tf"))
+    return per_entry.groupBy(*term).agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
 def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
-    """Most frequent terms ``(term, df, total, idf)`` of all entries, ties by term.
+    """Most frequent terms ``(term, df, total, idf)`` of all entries, ties by term; written.
 
-    Each text emits its terms, and its distinct terms once more for the document frequency; so
-    the only grouping is by term, with one row per term and task shuffled.
+    A pair of words is at most as frequent as either word. So words are counted first, and pairs
+    only of words that reach the count of the last word that would make the vocabulary; the many
+    pairs of rare words are neither counted nor shuffled. ``corpus`` should be clustered by entry.
     """
+    tokens = _tokens(corpus, "ord", settings)
+    each = tokens.select("ord", F.explode(F.concat("tokens", F.array().cast("array<string>"))).alias("term"))
+    words = written(_totals(each, "term"), "words")
+    best = words.orderBy(F.desc("total")).limit(settings.max_features)
+    reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+    floor = reached.total if reached.n and reached.n == settings.max_features else 1
+    frequent = words.where(F.col("total") >= floor)
+    rows = frequent.count() if settings.max_features else 0
+
+    pairs = tokens.select("ord", F.inline(neighbours(F.col("tokens"))))
+    if rows <= BROADCAST_ROWS:
+        for side in ("first", "second"):
+            pairs = pairs.join(F.broadcast(frequent.select(F.col("term").alias(side))), side, "left_semi")
+    bigrams = _totals(pairs, "first", "second").select(F.concat_ws(" ", "first", "second").alias("term"), "df", "total")
     entries = corpus.agg(F.count("*")).scalar()
     idf = F.log((F.lit(1.0) + entries) / (F.lit(1.0) + F.col("df"))) + 1.0
-    # One step per column: an expression used twice by the next step is then computed once.
-    tokens = corpus.select(kept_tokens(F.col("text"), settings.stop_words).alias("tokens"))
-    listed = tokens.select(with_bigrams(F.col("tokens")).alias("terms"))
-    occurrences = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("occurs"), F.lit(0).alias("new")))
-    distinct = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("occurs"), F.lit(1).alias("new"))
-    )
-    return (
-        listed.select(F.inline(F.concat(occurrences, distinct)))
-        .groupBy("term")
-        .agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
-        .orderBy(F.desc("total"), "term")
-        .limit(settings.max_features)
-        .select("term", "df", "total", idf.alias("idf"))
-    )
-
-
-def _known_terms(vocab: DataFrame, settings: IndexSettings) -> DataFrame:
-    # The cap on the vocabulary is its proven row bound.
-    return broadcast_within(vocab, settings.max_features, BROADCAST_ROWS)
+    vocab = frequent.unionByName(bigrams).orderBy(F.desc("total"), "term").limit(settings.max_features)
+    return written(vocab.select("term", "df", "total", idf.alias("idf")), "vocabulary")
 
 
 def weights(texts: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
-    """Weights ``(key, term, weight)`` of the known terms of each text, of norm 1 per text."""
+    """Weights ``(key, term, weight)`` of the known terms of each text, of norm 1 per text.
+
+    Unknown terms, most of all pairs, leave before anything is counted. The cap on the vocabulary
+    is its proven row bound.
+    """
+    known = broadcast_within(vocab.select("term", "idf"), settings.max_features, BROADCAST_ROWS)
     raw = (
-        term_frequencies(texts, key, settings)
-        .join(_known_terms(vocab.select("term", "idf"), settings), "term")
-        .select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+        terms(texts, key, settings)
+        .join(known, "term")
+        .groupBy(key, "term")
+        .agg((F.count("*") * F.max("idf")).alias("raw"))
     )
-    return raw.select(key, "term", normalised(F.col("raw"), key).alias("weight"))
-
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
-def normalised(raw: Column, key: str) -> Column:
-    return raw / F.sqrt(F.sum(raw * raw).over(Window.partitionBy(key)))
 
+def entry_words(corpus: DataFrame) -> DataFrame:
+    return corpus.select("ord", F.explode(word_tokens(F.col("text"))).alias("word"))
 
-def entry_features(corpus: DataFrame, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
-    """All features ``(ord, kind, feature, weight)`` of the entries in one pass over the text."""
-    tokens = corpus.select("ord", "text", kept_tokens(F.col("text"), settings.stop_words).alias("tokens"))
-    runs = F.array_join(digit_runs(F.col("text")), " ")
-    tagged = F.concat(
-        tagged_features(with_bigrams(F.col("tokens")), TERM),
-        tagged_features(word_tokens(F.col("text")), WORD),
-        tagged_features(F.filter(F.array(runs), lambda joined: joined != ""), NUMBER),
-    )
-    is_term = F.col("kind") == TERM
-    known = _known_terms(vocab.select(F.col("term").alias("feature"), F.lit(TERM).alias("kind"), "idf"), settings)
-    # Unknown terms, most of all pairs, leave before anything is counted.
-    counted = (
-        tokens.select("ord", F.inline(tagged))
-        .join(known, ["kind", "feature"], "left")
-        .where(~is_term | F.col("idf").isNotNull())
-        .groupBy("ord", "kind", "feature")
-        .agg((F.count("*") * F.max("idf")).alias("raw"))
-    )
-    return counted.select("ord", "kind", "feature", F.coalesce(normalised(F.col("raw"), "ord"), F.lit(1.0)).alias("weight"))
 
-
-def tagged_features(features: Column, kind: int) -> Column:
-    return F.transform(features, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("feature")))
+def entry_runs(corpus: DataFrame) -> DataFrame:
+    return corpus.select("ord", digit_runs(F.col("text")).alias("runs"))
 
 
 def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) -> SearchIndex:
@@ -132,7 +127,9 @@ def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) ->
     return SearchIndex(
         entries=corpus.select("ord", "key", "entry_type"),
         vocabulary=vocab,
-        features=entry_features(clustered, vocab, settings),
+        terms=weights(clustered, "ord", vocab, settings),
+        words=entry_words(clustered),
+        runs=entry_runs(clustered),
         settings=settings,
     )
 
@@ -140,16 +137,16 @@ def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) ->
 def write_index(index: SearchIndex, path: str) -> None:
     """Write the tables below a path, replacing what an earlier build left there.
 
-    Features are split into folders by kind and hash of the feature, so that ranking for few
-    questions opens only the folders their features fall into. The rebalance keeps folders in
-    files of even size, also where one feature occurs in most entries.
+    Terms and words are split into folders by their hash, so that ranking for few questions opens
+    only the folders of their features. The rebalance keeps the folders in files of even size,
+    also where one word occurs in most entries.
     """
     index.entries.write.mode("overwrite").parquet(f"{path}/entries")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    bucketed = index.features.withColumn("bucket", feature_bucket(F.col("feature")))
-    bucketed.hint("rebalance", "kind", "bucket").write.mode("overwrite").partitionBy("kind", "bucket").parquet(
-        f"{path}/features"
-    )
+    index.runs.where(F.size("runs") > 0).write.mode("overwrite").parquet(f"{path}/runs")
+    for name, table, feature in (("terms", index.terms, "term"), ("words", index.words, "word")):
+        bucketed = table.withColumn("bucket", feature_bucket(F.col(feature))).hint("rebalance", "bucket")
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def feature_bucket(feature: Column) -> Column:
@@ -158,9 +155,5 @@ def feature_bucket(feature: Column) -> Column:
 
 def read_index(spark: SparkSession, path: str, settings: IndexSettings = IndexSettings()) -> SearchIndex:
     """Tables of a written index."""
-    return SearchIndex(
-        entries=spark.read.parquet(f"{path}/entries"),
-        vocabulary=spark.read.parquet(f"{path}/vocabulary"),
-        features=spark.read.parquet(f"{path}/features"),
-        settings=settings,
-    )
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("entries", "vocabulary", "terms", "words", "runs")}
+    return SearchIndex(**tables, settings=settings)

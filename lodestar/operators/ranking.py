@@ -7,18 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import kept_tokens, number_tokens, substrings, with_bigrams, word_tokens
+from lodestar.functions.text import number_tokens, substrings, word_tokens
 from lodestar.operators.corpus import entry_type_of
-from lodestar.operators.index import (
-    NUMBER,
-    TERM,
-    WORD,
-    SearchIndex,
-    feature_bucket,
-    normalised,
-    tagged_features,
-    weights,
-)
+from lodestar.operators.index import SearchIndex, feature_bucket, terms, weights
 from lodestar.session import broadcast_within
 from lodestar.settings import BROADCAST_ROWS, CANDIDATE_PUBLICATIONS, CANDIDATE_TITLE_CHARS, SCORE_DIGITS, RankSettings
 
@@ -28,12 +19,16 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class QuestionShape:
-    """What one pass over the questions says about them; all of it is small by nature."""
+    """What one pass over the questions says about them; all of it is small by nature.
+
+    ``rows`` bounds the rows of every table made of the questions' terms, words or numbers.
+    """
 
     questions: int
-    features: int
+    rows: int
     number_lengths: tuple[int, ...]
-    buckets: tuple[int, ...]
+    term_buckets: tuple[int, ...]
+    word_buckets: tuple[int, ...]
 
 
 def query_weights(questions: DataFrame, index: SearchIndex) -> DataFrame:
@@ -41,75 +36,67 @@ def query_weights(questions: DataFrame, index: SearchIndex) -> DataFrame:
     return weights(questions, "query_id", index.vocabulary, index.settings)
 
 
-def _raw_features(questions: DataFrame, index: SearchIndex) -> DataFrame:
-    """Feature occurrences ``(query_id, kind, feature, words)`` of the questions."""
-    tokens = questions.select(
-        "query_id",
-        word_tokens(F.col("text")).alias("words"),
-        kept_tokens(F.col("text"), index.settings.stop_words).alias("tokens"),
-        number_tokens(F.col("text")).alias("numbers"),
-    )
-    tagged = F.concat(
-        tagged_features(with_bigrams(F.col("tokens")), TERM),
-        tagged_features(F.col("words"), WORD),
-        tagged_features(F.col("numbers"), NUMBER),
-    )
-    return tokens.select("query_id", F.size("words").alias("words"), F.explode(tagged).alias("f")).select(
-        "query_id", "f.kind", "f.feature", "words"
-    )
+def query_words(questions: DataFrame) -> DataFrame:
+    """Words ``(query_id, word, words)`` of each question and how many it has."""
+    listed = questions.select("query_id", word_tokens(F.col("text")).alias("listed"))
+    return listed.select("query_id", F.size("listed").alias("words"), F.explode(F.array_distinct("listed")).alias("word"))
 
 
-def question_features(questions: DataFrame, index: SearchIndex) -> DataFrame:
-    """Features ``(query_id, kind, feature, share)`` of the questions.
-
-    The share of a term is its weight; of a word, the words of the question plus one.
-    """
-    counted = (
-        _raw_features(questions, index)
-        .groupBy("query_id", "kind", "feature")
-        .agg(F.count("*").alias("tf"), F.max("words").alias("words"))
-    )
-    is_term = F.col("kind") == TERM
-    known = index.vocabulary.select(F.col("term").alias("feature"), F.lit(TERM).alias("kind"), "idf")
-    raw = counted.join(
-        broadcast_within(known, index.settings.max_features, BROADCAST_ROWS), ["kind", "feature"], "left"
-    ).where(~is_term | F.col("idf").isNotNull())
-    product = F.when(is_term, F.col("tf") * F.col("idf"))
-    share = F.coalesce(normalised(product, "query_id"), (F.col("words") + 1).cast("double"))
-    return raw.select("query_id", "kind", "feature", share.alias("share"))
+def query_numbers(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(number_tokens(F.col("text"))).alias("number"))
 
 
 def measure(questions: DataFrame, index: SearchIndex) -> QuestionShape:
-    """Count the features of the questions and list the lengths of their numbers."""
-    row = (
-        _raw_features(questions, index)
-        .agg(
-            F.count_distinct("query_id").alias("questions"),
-            F.count("*").alias("features"),
-            F.collect_set(F.when(F.col("kind") == NUMBER, F.length("feature"))).alias("lengths"),
-            F.collect_set(feature_bucket(F.col("feature"))).alias("buckets"),
-        )
-        .first()
-    )
-    return QuestionShape(row.questions, row.features, tuple(sorted(row.lengths)), tuple(sorted(row.buckets)))
+    """Count the questions and their features, and list what says where to look for them."""
+    found = terms(questions, "query_id", index.settings).select("query_id", F.lit("term").alias("kind"), F.col("term").alias("feature"))
+    found = found.unionByName(query_words(questions).select("query_id", F.lit("word").alias("kind"), F.col("word").alias("feature")))
+    found = found.unionByName(query_numbers(questions).select("query_id", F.lit("number").alias("kind"), F.col("number").alias("feature")))
+    kind, feature = F.col("kind"), F.col("feature")
+    row = found.agg(
+        F.count_distinct("query_id").alias("questions"),
+        F.count("*").alias("rows"),
+        F.collect_set(F.when(kind == "number", F.length(feature))).alias("lengths"),
+        F.collect_set(F.when(kind == "term", feature_bucket(feature))).alias("terms"),
+        F.collect_set(F.when(kind == "word", feature_bucket(feature))).alias("words"),
+    ).first()
+    return QuestionShape(row.questions, row.rows, tuple(sorted(row.lengths)), tuple(sorted(row.terms)), tuple(sorted(row.words)))
+
 
+def _in_buckets(table: DataFrame, buckets: tuple[int, ...]) -> DataFrame:
+    """A written table cut down to the folders asked for; other tables as they are."""
+    return table.where(F.col("bucket").isin(*buckets)).drop("bucket") if "bucket" in table.columns else table
 
-def _sought_features(index: SearchIndex, shape: QuestionShape) -> DataFrame:
-    """Entry features in the form questions have: digit runs become substrings to look up.
 
-    A number is found in a text by equality with a substring of the right length, not by testing
-    every number on every text.
+def _matches(entries: DataFrame, asked: DataFrame, feature: str, small: bool) -> DataFrame:
+    """Join entries and questions on a feature: by broadcast, or by shuffle in salted parts."""
+    if small:
+        return entries.join(F.broadcast(asked), feature)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = entries.withColumn("salt", F.pmod(F.hash("ord"), F.lit(SALTS)))
+    return salted.join(asked.withColumn("salt", parts), [feature, "salt"])
+
+
+def shared_terms(index: SearchIndex, questions: DataFrame, shape: QuestionShape, small: bool) -> DataFrame:
+    """One row ``(ord, query_id, product)`` per term that an entry shares with a question."""
+    asked = query_weights(questions, index).withColumnRenamed("weight", "asked")
+    found = _matches(_in_buckets(index.terms, shape.term_buckets), asked, "term", small)
+    return found.select("ord", "query_id", (F.col("weight") * F.col("asked")).alias("product"))
+
+
+def shared_words(index: SearchIndex, questions: DataFrame, shape: QuestionShape, small: bool) -> DataFrame:
+    """One row ``(ord, query_id, words)`` per word that an entry shares with a question."""
+    found = _matches(_in_buckets(index.words, shape.word_buckets), query_words(questions), "word", small)
+    return found.select("ord", "query_id", "words")
+
+
+def found_numbers(index: SearchIndex, questions: DataFrame, shape: QuestionShape, small: bool) -> DataFrame:
+    """One row ``(ord, query_id)`` per number of a question that is part of an entry's text.
+
+    The digit runs of an entry are cut into substrings of the lengths the numbers have, so that
+    numbers are found by equality instead of testing every number on every text.
     """
-    features = index.features
-    if "bucket" in features.columns:
-        features = features.where(F.col("bucket").isin(*shape.buckets) | (F.col("kind") == NUMBER))
-    single = F.array("feature")
-    if shape.number_lengths:
-        cut = substrings(F.split("feature", " "), shape.number_lengths)
-        single = F.when(F.col("kind") == NUMBER, cut).otherwise(single)
-    else:
-        features = features.where(F.col("kind") != NUMBER)
-    return features.select("ord", "kind", F.explode(single).alias("feature"), "weight")
+    cut = index.runs.select("ord", F.explode(substrings(F.col("runs"), shape.number_lengths)).alias("number"))
+    return _matches(cut, query_numbers(questions), "number", small).select("ord", "query_id")
 
 
 def score_pairs(
@@ -121,28 +108,28 @@ def score_pairs(
     """Scores ``(query_id, ord, sim, overlap, boost, score)`` of all pairs that share a feature.
 
     A pair that shares none scores 0. Similarity, overlap and number boost are sums over shared
-    features, so one join and one aggregation give all three. Questions within the broadcast bound
-    go to the entries; as those are clustered by entry, pairs are added up where they arise and
-    are not shuffled. More questions are joined by shuffle, each feature split into salted parts.
+    features, so all shared features are added up in one aggregation. Questions within the
+    broadcast bound go to the entries; as those are clustered by entry, pairs are added up where
+    they arise and are not shuffled. More questions are joined by shuffle.
     """
     shape = shape or measure(questions, index)
-    sought = _sought_features(index, shape)
-    asked = question_features(questions, index)
-    if shape.features <= settings.broadcast_rows:
-        shared = sought.join(F.broadcast(asked), ["kind", "feature"])
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        shared = sought.withColumn("salt", F.pmod(F.hash("ord"), F.lit(SALTS))).join(
-            asked.withColumn("salt", salts), ["kind", "feature", "salt"]
-        )
+    small = shape.rows <= settings.broadcast_rows
 
-    def of(kind: int, value: Column) -> Column:
-        return F.when(F.col("kind") == kind, value)
+    def part(df: DataFrame, sim: Column, word: int, words: Column, number: int) -> DataFrame:
+        return df.select(
+            "ord", "query_id", sim.alias("sim"), F.lit(word).alias("word"), words.alias("words"), F.lit(number).alias("number")
+        )
 
+    none, no_sim = F.lit(0), F.lit(0.0)
+    shared = part(shared_words(index, questions, shape, small), no_sim, 1, F.col("words"), 0)
+    if index.settings.max_features:
+        shared = shared.unionByName(part(shared_terms(index, questions, shape, small), F.col("product"), 0, none, 0))
+    if shape.number_lengths:
+        shared = shared.unionByName(part(found_numbers(index, questions, shape, small), no_sim, 0, none, 1))
     sums = shared.groupBy("ord", "query_id").agg(
-        F.coalesce(F.sum(of(TERM, F.col("weight") * F.col("share"))), F.lit(0.0)).alias("sim"),
-        F.coalesce(F.count(of(WORD, F.lit(1))) / F.max(of(WORD, F.col("share"))), F.lit(0.0)).alias("overlap"),
-        (F.count(of(NUMBER, F.lit(1))) * settings.number_boost).alias("boost"),
+        F.sum("sim").alias("sim"),
+        (F.sum("word") / (F.max("words") + 1)).alias("overlap"),
+        (F.sum("number") * settings.number_boost).alias("boost"),
     )
     blended = settings.similarity_weight * F.col("sim") + settings.overlap_weight * F.col("overlap") + F.col("boost")
     return sums.select("query_id", "ord", "sim", "overlap", "boost", blended.alias("score"))

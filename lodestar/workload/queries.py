@@ -297,8 +297,7 @@ def idf(t: Tables) -> DataFrame:
 
 @query
 def tfidf_weights(t: Tables) -> DataFrame:
-    features = t.index().features.where(F.col("kind") == ix.TERM)
-    return shown(features.select("ord", F.col("feature").alias("term"), "weight"))
+    return shown(t.index().terms)
 
 
 @query

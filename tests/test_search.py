@@ -103,7 +103,7 @@ def test_written_index_gives_the_same_and_can_be_rebuilt(spark):
 def test_weights_have_norm_one(spark):
     corpus, asked = tables(spark)
     index = ix.build_index(corpus, IndexSettings(STOP))
-    norms = index.features.where(F.col("kind") == ix.TERM).groupBy("ord").agg(F.sum(F.pow("weight", 2)).alias("n"))
+    norms = index.terms.groupBy("ord").agg(F.sum(F.pow("weight", 2)).alias("n"))
     assert all(abs(r.n - 1) < 1e-9 for r in norms.collect())
 
 
