@@ -76,14 +76,16 @@ def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
     only of words that reach the count of the last word that would make the vocabulary; the many
     pairs of rare words are neither counted nor shuffled. ``corpus`` should be clustered by entry.
     """
+    if not settings.max_features:
+        return corpus.sparkSession.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
     tokens = _tokens(corpus, "ord", settings)
     each = tokens.select("ord", F.explode(F.concat("tokens", F.array().cast("array<string>"))).alias("term"))
     words = written(_totals(each, "term"), "words")
     best = words.orderBy(F.desc("total")).limit(settings.max_features)
     reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
-    floor = reached.total if reached.n and reached.n == settings.max_features else 1
+    floor = reached.total if reached.n == settings.max_features else 1
     frequent = words.where(F.col("total") >= floor)
-    rows = frequent.count() if settings.max_features else 0
+    rows = frequent.count()
 
     pairs = tokens.select("ord", F.inline(neighbours(F.col("tokens"))))
     if rows <= BROADCAST_ROWS:

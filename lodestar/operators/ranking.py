@@ -95,10 +95,34 @@ def found_numbers(index: SearchIndex, questions: DataFrame, shape: QuestionShape
     The digit runs of an entry are cut into substrings of the lengths the numbers have, so that
     numbers are found by equality instead of testing every number on every text.
     """
-    cut = index.runs.select("ord", F.explode(substrings(F.col("runs"), shape.number_lengths)).alias("number"))
+    lengths = shape.number_lengths or (1,)
+    cut = index.runs.select("ord", F.explode(substrings(F.col("runs"), lengths)).alias("number"))
     return _matches(cut, query_numbers(questions), "number", small).select("ord", "query_id")
 
 
+def cosine_similarities(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+    """Similarity ``(query_id, ord, sim)`` of all pairs that share a term of the vocabulary."""
+    shape = measure(questions, index)
+    shared = shared_terms(index, questions, shape, shape.rows <= settings.broadcast_rows)
+    return shared.groupBy("ord", "query_id").agg(F.sum("product").alias("sim")).select("query_id", "ord", "sim")
+
+
+def token_overlaps(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+    """Shared words over the question's words plus one ``(query_id, ord, overlap)``."""
+    shape = measure(questions, index)
+    shared = shared_words(index, questions, shape, shape.rows <= settings.broadcast_rows)
+    overlap = F.count("*") / (F.max("words") + 1)
+    return shared.groupBy("ord", "query_id").agg(overlap.alias("overlap")).select("query_id", "ord", "overlap")
+
+
+def number_boosts(index: SearchIndex, questions: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
+    """Boost ``(query_id, ord, boost)`` of all pairs with a number of the question in the text."""
+    shape = measure(questions, index)
+    found = found_numbers(index, questions, shape, shape.rows <= settings.broadcast_rows)
+    boost = F.count("*") * settings.number_boost
+    return found.groupBy("ord", "query_id").agg(boost.alias("boost")).select("query_id", "ord", "boost")
+
+
 def score_pairs(
     index: SearchIndex,
     questions: DataFrame,

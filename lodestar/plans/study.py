@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.context import StudyFiles, cell_preview_texts, first_rows, preview_texts
+from lodestar.operators.corpus import sample_texts
 from lodestar.operators.profile import frame_cells, frequencies, named_columns, profile, profile_cells, ranged
 from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, PREVIEW_ROWS
 from lodestar.sources.catalog import catalog_files, existing_paths, mark_missing
-from lodestar.sources.delimited import raw_heads, read_delimited
+from lodestar.sources.delimited import preview_rows, raw_heads, read_delimited
 
 KEYS = ("dataset", "file_pos", "col_pos")
 
@@ -101,3 +102,18 @@ def file_study(
         profiles=profile_cells(cells, KEYS, columns),
         heads=heads.select("dataset", "file_pos", "text"),
     )
+
+
+def file_texts(spark: SparkSession, root: str, mode: str = "sample") -> DataFrame | None:
+    """Text ``(path, text)`` of each file below a folder for the search entry of its dataset.
+
+    ``sample``: column names and first rows of tables, the raw head of other files. ``raw_head``:
+    the raw head of every file. ``none``: no text.
+    """
+    if mode == "none":
+        return None
+    heads = raw_heads(spark, root)
+    if mode == "raw_head":
+        return heads
+    samples = written(sample_texts(preview_rows(spark, root)), "samples")
+    return samples.unionByName(heads.join(samples.select("path"), "path", "left_anti"))

@@ -322,20 +322,17 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 @query
 def cosine_sim(t: Tables) -> DataFrame:
-    pairs = rk.score_pairs(t.index(), t.questions()).where(F.col("sim") > 0)
-    return shown(pairs.select("query_id", "ord", "sim"))
+    return shown(rk.cosine_similarities(t.index(), t.questions()))
 
 
 @query
 def token_overlap(t: Tables) -> DataFrame:
-    pairs = rk.score_pairs(t.index(IndexSettings(max_features=0)), t.questions()).where(F.col("overlap") > 0)
-    return shown(pairs.select("query_id", "ord", "overlap"))
+    return shown(rk.token_overlaps(t.index(IndexSettings(max_features=0)), t.questions()))
 
 
 @query
 def number_boost(t: Tables) -> DataFrame:
-    pairs = rk.score_pairs(t.index(IndexSettings(max_features=0)), t.questions()).where(F.col("boost") > 0)
-    return shown(pairs.select("query_id", "ord", "boost"))
+    return shown(rk.number_boosts(t.index(IndexSettings(max_features=0)), t.questions()))
 
 
 @query

@@ -3,12 +3,11 @@ import json
 from pyspark.sql import functions as F
 
 from lodestar.operators import context as cx
-from lodestar.operators.corpus import build_corpus, dataset_text_urls, dataset_texts, file_parts, sample_texts
+from lodestar.operators.corpus import build_corpus, dataset_text_urls, dataset_texts, file_parts
 from lodestar.operators.index import build_index
 from lodestar.plans.ask import ask
-from lodestar.plans.study import file_study
+from lodestar.plans.study import file_study, file_texts
 from lodestar.sources.catalog import catalog_files, load_catalog
-from lodestar.sources.delimited import preview_rows
 
 
 def make_study(tmp_path):
@@ -48,14 +47,17 @@ def test_context_of_files(spark, tmp_path):
 
 def test_dataset_text_with_samples(spark, tmp_path):
     catalog = load_catalog(spark, make_study(tmp_path))
-    parts = file_parts(catalog_files(catalog), sample_texts(preview_rows(spark, str(tmp_path))))
+    parts = file_parts(catalog_files(catalog), file_texts(spark, str(tmp_path)))
     texts = {r.dataset: r.text for r in dataset_texts(catalog, parts).collect()}
     assert texts["S-1"] == (
-        "DATASET_ID: S-1\nmouse\nRNA\nGene study (http://d.org/1)\nf\nName Link Value\nm1 http://o.org/1. 1 m2 http://o.org/1. 2"
+        "DATASET_ID: S-1\nmouse\nRNA\nGene study (http://d.org/1)\nf\nTITLE\nabout http://i.org/x, done\nName Link Value\nm1 http://o.org/1. 1 m2 http://o.org/1. 2"
     )
     assert texts["S-2"] == "DATASET_ID: S-2\nplant\nLeaves"
     urls = {r.dataset: r.urls for r in dataset_text_urls(catalog, parts).collect()}
-    assert urls == {"S-1": ["http://d.org/1", "http://o.org/1"], "S-2": []}
+    assert urls == {"S-1": ["http://d.org/1", "http://i.org/x", "http://o.org/1"], "S-2": []}
+    assert file_texts(spark, str(tmp_path), "none") is None
+    heads = {r.path.rsplit("/", 1)[1]: r.text for r in file_texts(spark, str(tmp_path), "raw_head").collect()}
+    assert heads["s.txt"].startswith("Name\tLink\tValue\nm1")
 
 
 def test_ask(spark, tmp_path):
