@@ -5,7 +5,7 @@ Character classes are spelled out because Java's ``\\w`` and ``\\s`` cover ASCII
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,19 +77,19 @@ def kept_tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words
 
 
-def neighbours(tokens: Column) -> Column:
-    """Structs ``(first, second)`` of every two tokens that follow each other."""
-    return _zip_neighbours(tokens, lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+def bigrams(tokens: Column) -> Column:
+    """Every two tokens that follow each other, joined by a blank."""
+    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(tokens, F.lit(1), pairs),
+        F.slice(tokens, F.lit(2), pairs),
+        lambda first, second: F.concat(first, F.lit(" "), second),
+    )
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Tokens followed by every pair of neighbours, joined by a blank."""
-    return F.concat(tokens, _zip_neighbours(tokens, lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
-def _zip_neighbours(tokens: Column, pair: Callable[[Column, Column], Column]) -> Column:
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(F.slice(tokens, F.lit(1), pairs), F.slice(tokens, F.lit(2), pairs), pair)
+    """Tokens followed by their bigrams."""
+    return F.concat(tokens, bigrams(tokens))
 
 
 def extract_urls(text: Column) -> Column:

@@ -11,11 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import digit_runs, kept_tokens, neighbours, with_bigrams, word_tokens
+from lodestar.functions.text import bigrams, digit_runs, kept_tokens, with_bigrams, word_tokens
 from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, IndexSettings
 
 FEATURE_BUCKETS = 64
+# A corpus estimated at no more than this is spread over all cores before it is counted.
+SMALL_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -46,8 +48,8 @@ def by_entry(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(partitions, "ord")
 
 
-# In the next three functions each array is a step of its own: an array that a later expression
-# uses twice is then computed once.
+# Each array is a column of its own step: an array that a later expression uses twice is then
+# computed once.
 
 
 def _tokens(texts: DataFrame, key: str, settings: IndexSettings) -> DataFrame:
@@ -63,10 +65,33 @@ def term_frequencies(texts: DataFrame, key: str, settings: IndexSettings) -> Dat
     return terms(texts, key, settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def _totals(occurrences: DataFrame, *term: str) -> DataFrame:
-    """Document frequency and total count of terms ``(ord, *term)``, clustered by entry."""
-    per_entry = occurrences.groupBy("ord", *term).agg(F.count("*").alias("tf"))
-    return per_entry.groupBy(*term).agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+def spread(corpus: DataFrame) -> DataFrame:
+    """A small corpus spread by entry, a large one as it is read.
+
+    Large tables arrive in as many parts as there is work for; a small one may be a single row
+    group, which would be left to one task.
+    """
+    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return by_entry(corpus) if size <= SMALL_BYTES else corpus
+
+
+def _totals(listed: DataFrame) -> DataFrame:
+    """Document frequency and total count ``(term, df, total)`` from an array ``listed`` per text.
+
+    Each text emits its terms, and its distinct terms once more for the document frequency. So the
+    only grouping is by term, added up before the shuffle; the texts themselves are not shuffled.
+    """
+
+    def counted(terms: Column, occurs: int, new: int) -> Column:
+        return F.transform(
+            terms, lambda t: F.struct(t.alias("term"), F.lit(occurs).alias("occurs"), F.lit(new).alias("new"))
+        )
+
+    return listed.select(F.inline(F.concat(counted(F.col("listed"), 1, 0), counted(F.array_distinct("listed"), 0, 1))))
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
 
 
 def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
@@ -74,27 +99,26 @@ def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
 
     A pair of words is at most as frequent as either word. So words are counted first, and pairs
     only of words that reach the count of the last word that would make the vocabulary; the many
-    pairs of rare words are neither counted nor shuffled. ``corpus`` should be clustered by entry.
+    pairs of rare words are neither counted nor shuffled.
     """
     if not settings.max_features:
         return corpus.sparkSession.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
-    tokens = _tokens(corpus, "ord", settings)
-    each = tokens.select("ord", F.explode(F.concat("tokens", F.array().cast("array<string>"))).alias("term"))
-    words = written(_totals(each, "term"), "words")
+    tokens = _tokens(spread(corpus), "ord", settings)
+    words = written(_summed(_totals(tokens.select(F.col("tokens").alias("listed")))), "words")
     best = words.orderBy(F.desc("total")).limit(settings.max_features)
     reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
     floor = reached.total if reached.n == settings.max_features else 1
     frequent = words.where(F.col("total") >= floor)
     rows = frequent.count()
 
-    pairs = tokens.select("ord", F.inline(neighbours(F.col("tokens"))))
+    pairs = _totals(tokens.select(bigrams(F.col("tokens")).alias("listed")))
     if rows <= BROADCAST_ROWS:
-        for side in ("first", "second"):
-            pairs = pairs.join(F.broadcast(frequent.select(F.col("term").alias(side))), side, "left_semi")
-    bigrams = _totals(pairs, "first", "second").select(F.concat_ws(" ", "first", "second").alias("term"), "df", "total")
+        for side, part in (("first", 1), ("second", -1)):
+            known = F.broadcast(frequent.select(F.col("term").alias(side)))
+            pairs = pairs.join(known, F.substring_index("term", " ", part) == F.col(side), "left_semi")
     entries = corpus.agg(F.count("*")).scalar()
     idf = F.log((F.lit(1.0) + entries) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocab = frequent.unionByName(bigrams).orderBy(F.desc("total"), "term").limit(settings.max_features)
+    vocab = frequent.unionByName(_summed(pairs)).orderBy(F.desc("total"), "term").limit(settings.max_features)
     return written(vocab.select("term", "df", "total", idf.alias("idf")), "vocabulary")
 
 
@@ -124,8 +148,8 @@ def entry_runs(corpus: DataFrame) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) -> SearchIndex:
+    vocab = vocabulary(corpus, settings)
     clustered = by_entry(corpus)
-    vocab = vocabulary(clustered, settings)
     return SearchIndex(
         entries=corpus.select("ord", "key", "entry_type"),
         vocabulary=vocab,

@@ -287,12 +287,12 @@ def term_freq(t: Tables) -> DataFrame:
 
 @query
 def vocabulary(t: Tables) -> DataFrame:
-    return ix.vocabulary(ix.by_entry(t.corpus()), IndexSettings()).select("term", "df", "total")
+    return ix.vocabulary(t.corpus(), IndexSettings()).select("term", "df", "total")
 
 
 @query
 def idf(t: Tables) -> DataFrame:
-    return shown(ix.vocabulary(ix.by_entry(t.corpus()), IndexSettings()).select("term", "idf"))
+    return shown(ix.vocabulary(t.corpus(), IndexSettings()).select("term", "idf"))
 
 
 @query
