@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import extract_urls
 from lodestar.session import ordered_join
 from lodestar.settings import PREVIEW_ROWS, SAMPLE_COLUMNS
+from lodestar.sources.delimited import first_cells
 
 # Publications come after all datasets in entry order, without counting the datasets first.
 PUBLICATION_OFFSET = 1 << 62
@@ -32,9 +33,7 @@ def sample_texts(cells: DataFrame, max_columns: int = SAMPLE_COLUMNS, rows: int
 
     The rows are cut before anything is gathered, so a file's text is bounded by its width.
     """
-    # Cells of one row share its position, so the rank of a position is the rank of the row.
-    order = Window.partitionBy("path").orderBy("row_pos")
-    first = cells.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= rows)
+    first = first_cells(cells, ["path"], rows)
     value = F.coalesce("value", F.lit("nan"))
     names = F.filter(F.collect_set(F.struct("col_pos", "column")), lambda c: c["col_pos"] < max_columns)
     return (

@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import bigrams, digit_runs, kept_tokens, with_bigrams, word_tokens
-from lodestar.session import broadcast_within, written
+from lodestar.session import broadcast_within, is_small, written
 from lodestar.settings import BROADCAST_ROWS, IndexSettings
 
 FEATURE_BUCKETS = 64
-# A corpus estimated at no more than this is spread over all cores before it is counted.
-SMALL_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -65,16 +63,6 @@ def term_frequencies(texts: DataFrame, key: str, settings: IndexSettings) -> Dat
     return terms(texts, key, settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def spread(corpus: DataFrame) -> DataFrame:
-    """A small corpus spread by entry, a large one as it is read.
-
-    Large tables arrive in as many parts as there is work for; a small one may be a single row
-    group, which would be left to one task.
-    """
-    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return by_entry(corpus) if size <= SMALL_BYTES else corpus
-
-
 def _totals(listed: DataFrame) -> DataFrame:
     """Document frequency and total count ``(term, df, total)`` from an array ``listed`` per text.
 
@@ -103,7 +91,7 @@ def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
     """
     if not settings.max_features:
         return corpus.sparkSession.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
-    tokens = _tokens(spread(corpus), "ord", settings)
+    tokens = _tokens(by_entry(corpus) if is_small(corpus) else corpus, "ord", settings)
     words = written(_summed(_totals(tokens.select(F.col("tokens").alias("listed")))), "words")
     best = words.orderBy(F.desc("total")).limit(settings.max_features)
     reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.numbers import FALSE_WORDS, NUMERIC, TRUE_WORDS, fixed, float_text, round_binary
-from lodestar.session import broadcast_within, written
+from lodestar.session import broadcast_within, spread_small, written
 from lodestar.settings import BROADCAST_ROWS, RENDERED_NUMBERS, TOP_VALUES
 
 TEXT, NUMBER, BOOLEAN = 0, 1, 2
@@ -25,7 +25,8 @@ TEXT, NUMBER, BOOLEAN = 0, 1, 2
 def frame_cells(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Cells ``(keys, col_pos, kind, num, txt)`` of a typed table: one row per row and column."""
     fields = [df.schema[name] for name in (columns or df.columns)]
-    return df.select(*keys, F.inline(F.array(*[_cell(i, field) for i, field in enumerate(fields)])))
+    rows = spread_small(df.select(*keys, *[F.col(f"`{field.name}`") for field in fields]))
+    return rows.select(*keys, F.inline(F.array(*[_cell(i, field) for i, field in enumerate(fields)])))
 
 
 def named_columns(owners: DataFrame, names: Sequence[str]) -> DataFrame:

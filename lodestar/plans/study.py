@@ -13,9 +13,9 @@ from lodestar.operators.context import StudyFiles, cell_preview_texts, first_row
 from lodestar.operators.corpus import sample_texts
 from lodestar.operators.profile import frame_cells, frequencies, named_columns, profile, profile_cells, ranged
 from lodestar.session import broadcast_within, written
-from lodestar.settings import BROADCAST_ROWS, PREVIEW_ROWS
+from lodestar.settings import BROADCAST_ROWS
 from lodestar.sources.catalog import catalog_files, existing_paths, mark_missing
-from lodestar.sources.delimited import preview_rows, raw_heads, read_delimited
+from lodestar.sources.delimited import first_cells, preview_rows, raw_heads, read_delimited
 
 KEYS = ("dataset", "file_pos", "col_pos")
 
@@ -92,13 +92,12 @@ def file_study(
     slots = files.where(~F.col("missing")).select("dataset", "file_pos", "path")
     slots = broadcast_within(slots, files.count(), BROADCAST_ROWS)
     cells = written(read_delimited(spark, root, analysis_rows, multi_line).join(slots, "path"), "cells")
-    head_cells = read_delimited(spark, root, PREVIEW_ROWS, multi_line).join(slots, "path")
     columns = cells.select(*KEYS, "column").distinct()
     with_rows = columns.select("dataset", "file_pos").distinct()
     heads = raw_heads(spark, root).join(slots, "path").join(with_rows, ["dataset", "file_pos"], "left_anti")
     return StudyFiles(
         files=files.select("dataset", "file_pos", "name", "file_name", "missing"),
-        previews=cell_preview_texts(head_cells, ["dataset", "file_pos"]),
+        previews=cell_preview_texts(first_cells(cells, ["dataset", "file_pos"]), ["dataset", "file_pos"]),
         profiles=profile_cells(cells, KEYS, columns),
         heads=heads.select("dataset", "file_pos", "text"),
     )

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# A table estimated at no more than this may be spread over all cores before heavy work.
+SMALL_BYTES = 1 << 30
+
 _local_workspace: dict[str, str] = {}
 
 
@@ -56,6 +59,20 @@ def broadcast_within(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether Catalyst estimates the rows at no more than ``SMALL_BYTES``.
+
+    Large tables arrive in as many parts as there is work for; a small one may be a single row
+    group, which would be left to one task if it is not spread.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table spread evenly over all cores, a large one as it is read."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
 def ordered_join(items: Column, separator: str, field: str) -> Column:
     """Texts of an array of structs, joined in the order of the structs' leading fields."""
     return F.array_join(F.transform(F.array_sort(items), lambda item: item[field]), separator)

@@ -128,6 +128,12 @@ def _cells(spark: SparkSession, tables: DataFrame, group, analysis_rows: int | N
     )
 
 
+def first_cells(cells: DataFrame, keys: Sequence[str], rows: int = PREVIEW_ROWS) -> DataFrame:
+    """Cells of the first rows of each group; cells of one row share its position."""
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("row_pos"))
+    return cells.withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
+
+
 def preview_rows(spark: SparkSession, paths: Sequence[str] | str, rows: int = PREVIEW_ROWS) -> DataFrame:
     """Cells of the first rows of each file."""
     return read_delimited(spark, paths, analysis_rows=rows)

@@ -2,6 +2,7 @@ import io
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import profile as pr
@@ -73,12 +74,28 @@ def test_typed_table(spark):
     assert [(r.column, r.note, r["count"]) for r in empty] == [(c, "empty", 0) for c in "abcd"]
 
 
-def test_hot_value_and_many_values(spark):
+@pytest.fixture
+def many_ranges(spark):
+    """Keeps small ranges apart, as large ones are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_hot_value_and_many_values_in_many_ranges(spark, many_ranges):
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 0.37).alias("hot"), (F.col("id") % 5).alias("few")
     )
-    frame = df.toPandas()
-    check(pr.profile_frame(df), expected(frame))
+    check(pr.profile_frame(df), expected(df.toPandas()))
+    f = pr.ranged(pr.frequencies(pr.frame_cells(df), ["col_pos"]), ["col_pos"])
+    assert f.table.where("num IS NOT NULL").select("bucket").distinct().count() > 4
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 10, 11])
+def test_median_between_ranges(spark, many_ranges, rows):
+    df = spark.range(rows).select((F.col("id") * F.col("id")).alias("a"), F.lit(5).alias("b"))
+    check(pr.profile_frame(df), expected(df.toPandas()))
 
 
 def test_last_file_wins(spark):
@@ -95,3 +112,14 @@ def test_rendered_lines(spark):
         "Column: n [numeric] count=3 mean=1.667 median=2.000 std=0.577 top=2.0 (66.67%), 1.0 (33.33%)",
         "Column: t [categorical] count=2 unique=1 top='a' (100.0%)",
     ]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_hold_no_whole_column_in_one_task(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"))
+    f = pr.ranged(pr.frequencies(pr.frame_cells(df), ["col_pos"]), ["col_pos"])
+    assert "WindowGroupLimit" in plan_of(pr.top_values(f))
+    assert "SortMergeJoin" not in plan_of(pr.medians(f)) and "SortMergeJoin" not in plan_of(pr.deviations(f))
