@@ -43,7 +43,12 @@ def hits_of(
 ) -> Hits:
     hits = written(search(index, questions, settings), "hits")
     rows = hits.count()
-    return Hits(dataset_hits(hits, catalog, rows), publication_hits(hits, publications, rows), rows)
+    # With their fields the hits are still few rows; written, the catalogue is read for them once.
+    return Hits(
+        written(dataset_hits(hits, catalog, rows), "dataset-hits"),
+        written(publication_hits(hits, publications, rows), "publication-hits"),
+        rows,
+    )
 
 
 # Gives the study files of the datasets in a table ``(dataset)``.
@@ -51,10 +56,10 @@ StudySource = Callable[[DataFrame], StudyFiles]
 
 
 def contexts_of_hits(hits: Hits, catalog: DataFrame, study: StudySource | None) -> DataFrame:
-    """Contexts of the datasets that were hit; the others are left out before any work on them."""
+    """Contexts of the datasets that were hit, written; the others are left out before any work."""
     wanted = written(hits.datasets.select(F.col("key").alias("dataset")).distinct(), "wanted")
     study_files = None if study is None else study(broadcast_within(wanted, hits.rows, BROADCAST_ROWS))
-    return dataset_contexts(only_hit(catalog, wanted, hits.rows), study_files)
+    return written(dataset_contexts(only_hit(catalog, wanted, hits.rows), study_files), "contexts")
 
 
 def prompt_table(questions: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def ask(
     """
     hits = hits_of(index, questions, catalog, publications, settings)
     datasets, papers = hits.datasets, hits.publications
-    contexts = written(contexts_of_hits(hits, catalog, study), "contexts")
+    contexts = contexts_of_hits(hits, catalog, study)
     combined = combined_contexts(questions, datasets, papers, contexts)
     given = parse_answers(answers)
     used = used_lists(questions, datasets, papers)
