@@ -30,3 +30,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op4_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.repetition import repetition
+
+    return repetition(table(spark, folder, "documents"))
