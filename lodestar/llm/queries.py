@@ -37,3 +37,10 @@ def op4_suffix_repetition(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.repetition import repetition
 
     return repetition(table(spark, folder, "documents"))
+
+
+@query
+def op5_diagonal_voting(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.licenses import license_summary
+
+    return license_summary(table(spark, folder, "documents"))
