@@ -44,3 +44,17 @@ def op5_diagonal_voting(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.licenses import license_summary
 
     return license_summary(table(spark, folder, "documents"))
+
+
+@query
+def op6_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.factorisation import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

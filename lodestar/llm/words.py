@@ -70,13 +70,16 @@ def _offsets(binary: pa.Array) -> np.ndarray:
     return np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
 
 
-def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and per text the place of its first word (one more entry at the end)."""
+def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in order, and per text the place of its first word (one more entry at the end).
+
+    Then for each length in ``heads`` the hashes of the first so many bytes of the words, 0 for shorter words.
+    """
     binary = texts.cast(pa.large_binary())
     bounds = _offsets(binary)
     low, high = int(bounds[0]), int(bounds[-1])
     if high == low:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *[np.zeros(0, np.uint64)] * len(heads)
     data = np.frombuffer(binary.buffers()[2], np.uint8)[low:high]
     bounds = bounds - low
     inside = word_bytes[data]
@@ -91,7 +94,13 @@ def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True) ->
     powers, inverse = _powers(len(data))
     sums = np.cumsum((_CODES[_LOWER] if lower else _CODES)[data] * powers[: len(data)])
     before = np.where(start > 0, sums[start - 1], np.uint64(0))
-    return mixed((sums[stop] - before) * inverse[start]), np.searchsorted(start, bounds)
+    own = inverse[start]
+
+    def head(length: int) -> np.ndarray:
+        part = mixed((sums[np.minimum(start + length - 1, stop)] - before) * own + np.uint64(length))
+        return np.where(stop - start >= length, part, np.uint64(0))
+
+    return mixed((sums[stop] - before) * own), np.searchsorted(start, bounds), *map(head, heads)
 
 
 def per_text(values: np.ndarray, firsts: np.ndarray, how: np.ufunc = np.add) -> np.ndarray:
