@@ -126,8 +126,9 @@ def ranked(pieces: DataFrame, by: list[str], length: str = "length") -> DataFram
             yield batch.append_column("local_rank", pa.array(ranks.astype(np.int64)))
 
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, part int, local_rank long"
+    # Range bounds are sampled from the rows, so these are written before, or they would be made twice.
     ranges = (
-        pieces.repartitionByRange(parts, length, *by)
+        written(pieces, "pieces").repartitionByRange(parts, length, *by)
         .sortWithinPartitions(length, *by)
         .withColumn("part", F.spark_partition_id())
         .mapInArrow(numbered, schema)
