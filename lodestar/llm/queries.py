@@ -58,3 +58,10 @@ def op9_factorisation_quality(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.factorisation import quality
 
     return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.graph_search import nearest
+
+    return nearest(table(spark, folder, "embeddings"))
