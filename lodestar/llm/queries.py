@@ -65,3 +65,10 @@ def op8_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.graph_search import nearest
 
     return nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op3_hamming_join(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
