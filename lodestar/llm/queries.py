@@ -72,3 +72,11 @@ def op3_hamming_join(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op7_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its cleaned text, how many sentences went, and the documents that have them first."""
+    from lodestar.llm.spans import without_repeats
+
+    return without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "text", "repeats.*")

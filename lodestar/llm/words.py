@@ -70,16 +70,14 @@ def _offsets(binary: pa.Array) -> np.ndarray:
     return np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
 
 
-def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """Hashes of all words in order, and per text the place of its first word (one more entry at the end).
-
-    Then for each length in ``heads`` the hashes of the first so many bytes of the words, 0 for shorter words.
-    """
+def word_places(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of the texts, the first bytes of their words, the last ones, the texts' bounds, and their first words."""
     binary = texts.cast(pa.large_binary())
     bounds = _offsets(binary)
     low, high = int(bounds[0]), int(bounds[-1])
+    none = np.zeros(0, np.int64)
     if high == low:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), *[np.zeros(0, np.uint64)] * len(heads)
+        return np.zeros(0, np.uint8), none, none, bounds - low, np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(binary.buffers()[2], np.uint8)[low:high]
     bounds = bounds - low
     inside = word_bytes[data]
@@ -91,16 +89,38 @@ def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True, hea
     lasts = np.append(edges[1:], len(data)) - 1
     ends[lasts] |= inside[lasts]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends)
+    return data, start, stop, bounds, np.searchsorted(start, bounds)
+
+
+def hashes_at(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of the words at these places, and for each length in ``heads`` of their first so many bytes.
+
+    A head is 0 for words that are shorter. With ``lower`` A-Z count as a-z.
+    """
     powers, inverse = _powers(len(data))
     sums = np.cumsum((_CODES[_LOWER] if lower else _CODES)[data] * powers[: len(data)])
-    before = np.where(start > 0, sums[start - 1], np.uint64(0))
+    before = np.where(start > 0, sums[start - 1], np.uint64(0)) if len(start) else np.zeros(0, np.uint64)
     own = inverse[start]
 
     def head(length: int) -> np.ndarray:
         part = mixed((sums[np.minimum(start + length - 1, stop)] - before) * own + np.uint64(length))
         return np.where(stop - start >= length, part, np.uint64(0))
 
-    return mixed((sums[stop] - before) * own), np.searchsorted(start, bounds), *map(head, heads)
+    return mixed((sums[stop] - before) * own), *map(head, heads)
+
+
+def word_hashes(texts: pa.Array, word_bytes: np.ndarray, lower: bool = True, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in order, per text the place of its first word (one more entry at the end), then heads."""
+    data, start, stop, _, firsts = word_places(texts, word_bytes)
+    hashes, *more = hashes_at(data, start, stop, lower, heads)
+    return hashes, firsts, *more
+
+
+def runs_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the runs ``values[first..last]``: equal for equal runs, wherever they are."""
+    powers, inverse = _powers(len(values))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[: len(values)])])
+    return mixed((sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
 def per_text(values: np.ndarray, firsts: np.ndarray, how: np.ufunc = np.add) -> np.ndarray:
