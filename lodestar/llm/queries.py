@@ -80,3 +80,10 @@ def op7_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.spans import without_repeats
 
     return without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "text", "repeats.*")
+
+
+@query
+def op1_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.pii import personal_data_summary
+
+    return personal_data_summary(table(spark, folder, "documents"))
