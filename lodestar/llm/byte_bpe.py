@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 
 #: Distinct words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
 
 _SPACE_THEN_SPACE = re.compile(r" \s")
 
@@ -52,7 +52,7 @@ class WordIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; the text of special tokens is ordinary text."""
         cut = [None if _SPACE_THEN_SPACE.search(text) or text.endswith(" ") else text.split(" ") for text in texts]
-        self.learn({word for words in cut if words for word in words[1:]} - {""})
+        self.learn(set().union(*(words[1:] for words in cut if words)) - {""})
         known = self.__getitem__
         return [
             self.plain(text) if words is None else self.plain(words[0]) + b"".join(map(known, words[1:]))

@@ -87,3 +87,10 @@ def op1_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.pii import personal_data_summary
 
     return personal_data_summary(table(spark, folder, "documents"))
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.pieces import encode
+
+    return encode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"))
