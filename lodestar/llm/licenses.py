@@ -1,18 +1,22 @@
 """License scans by diagonal voting.
 
-Every rolling k-gram of words of every text is joined, by hash and content, with the places of the same k-gram in
-the templates. A hit votes for a diagonal: its place in the text less its place in the template. Votes are added up
+The hash of every rolling k-gram of words of every text is joined with the places of the same k-gram in the templates. A hit votes for a diagonal: its place in the text less its place in the template. Votes are added up
 by diagonal before anything is shuffled further; neighbouring diagonals are merged (words put in or left out move a
 copy from one to the next), and a merged span stands if it holds enough of the template's k-grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.words import documents
+from lodestar.llm.words import ALNUM, chunks, documents, mixed, word_hashes
+from lodestar.session import written
 
 # The phrases of the contract and their labels.
 BASE_PHRASES = (
@@ -68,40 +72,61 @@ NEIGHBOURS = 3
 #: Share of a notice's k-grams that a span must hold.
 MIN_COVER = 0.6
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NONE = -1
+_NO_GRAM = 0
 
 
-def words(text: Column) -> Column:
-    """Words of digits, letters and characters beyond ASCII, with A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
-
+def grams(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run of k words of the texts its hash, text and first word; and how many words each text has.
 
-def grams(words: Column, k: int) -> Column:
-    """All runs of k words, joined by spaces."""
-    return F.when(
-        F.size(words) >= k,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    Words are of digits, letters and characters beyond ASCII, with A-Z lower-cased. Then one empty run per text.
+    """
+    words, firsts = word_hashes(texts, ALNUM)
+    n = max(len(words) - k + 1, 0)
+    runs = np.zeros(n, np.uint64)
+    for i in range(k):
+        runs = mixed(runs + words[i : i + n] + np.uint64(i + 1))
+    text = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    whole = text[:n] == text[k - 1 : k - 1 + n]
+    every = np.arange(len(texts))
+    return (
+        np.concatenate([runs[whole].view(np.int64), np.full(len(texts), _NO_GRAM)]),
+        np.concatenate([text[:n][whole], every]),
+        np.concatenate([(np.arange(n) - firsts[text[:n]])[whole], 0 * every]),
+        np.diff(firsts),
+    )
 
 
 def templates(spark: SparkSession, k: int) -> DataFrame:
-    """``gram_hash, gram, template, kind, label, n_grams, template_pos``: some hundred fixed rows.
+    """``gram, template, kind, label, n_grams, template_pos``: some hundred fixed rows.
 
-    The empty k-gram stands for "no template": one such hit per text keeps texts without any other.
+    The empty run stands for "no template": one such hit per text keeps texts without any other.
     """
-    rows = [("base", label, phrase) for phrase, label in BASE_PHRASES]
-    rows += [("phrase", label, phrase) for phrase, label in MORE_PHRASES]
-    rows += [("notice", label, text) for label, text in NOTICES]
-    listed = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(rows)], "template int, kind string, label string, text string"
+    listed = [("base", label, phrase) for phrase, label in BASE_PHRASES]
+    listed += [("phrase", label, phrase) for phrase, label in MORE_PHRASES]
+    listed += [("notice", label, text) for label, text in NOTICES]
+    gram, text, place, n_words = (x.tolist() for x in grams(pa.array([x[2] for x in listed]), k))
+    rows = [(g, t, *listed[t][:2], n_words[t] - k + 1, p) for g, t, p in zip(gram, text, place, strict=True) if g != _NO_GRAM]
+    return spark.createDataFrame(
+        [*rows, (_NO_GRAM, _NONE, "none", "", 0, 0)], "gram long, template int, kind string, label string, n_grams int, template_pos int"
     )
-    hits = listed.withColumn("grams", grams(words(F.col("text")), k)).select(
-        "template", "kind", "label", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("template_pos", "gram")
-    )
-    none = spark.createDataFrame([(_NONE, "none", "", 0, 0, "")], hits.schema)
-    return hits.unionByName(none).withColumn("gram_hash", F.xxhash64("gram"))
+
+
+def rolling(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_hash, n_words, pos, gram`` of every run of k words of every text."""
+
+    def rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in chunks(batch.column("text")):
+                gram, text, pos, n_words = grams(texts, k)
+                at = pa.array(begin + text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(n_words[text]), pa.array(pos.astype(np.int32)), pa.array(gram)],
+                    ["doc_id", "text_hash", "n_words", "pos", "gram"],
+                )
+
+    rows = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(rolled, "doc_id long, text_hash long, n_words long, pos int, gram long")
 
 
 def license_spans(docs: DataFrame, k: int = K, min_cover: float = MIN_COVER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,18 +137,14 @@ def license_spans(docs: DataFrame, k: int = K, min_cover: float = MIN_COVER, id_
     doc_id and text are one document. Phrases stand only as a whole; notices with ``cover`` below ``min_cover``
     are kept, for their score, as kind ``part``.
     """
-    rows = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
-    exploded = rows.select(
-        "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"),
-        F.posexplode(F.concat(grams(F.col("words"), k), F.array(F.lit("")))).alias("pos", "gram"),
-    ).withColumn("gram_hash", F.xxhash64("gram"))
     # The templates are fixed values of this module, whatever the input.
-    hits = exploded.join(F.broadcast(templates(docs.sparkSession, k)), ["gram_hash", "gram"])
+    hits = rolling(docs, k, id_col, text_col).join(F.broadcast(templates(docs.sparkSession, k)), "gram")
     text = ["doc_id", "text_hash", "n_words"]
     template = [*text, "template", "kind", "label", "n_grams"]
-    diagonals = hits.groupBy(*template, (F.col("pos") - F.col("template_pos")).alias("diagonal")).agg(
+    votes = hits.groupBy(*template, (F.col("pos") - F.col("template_pos")).alias("diagonal")).agg(
         F.collect_set("template_pos").alias("at")
     )
+    diagonals = written(votes, "diagonals")
     whole = diagonals.where(F.col("kind").isin("base", "phrase") & (F.size("at") == F.col("n_grams"))).select(
         *text, "kind", "label", F.col("diagonal").cast("long").alias("first_word"),
         (F.col("diagonal") + F.col("n_grams") + (k - 1)).cast("long").alias("end_word"), F.lit(1.0).alias("cover"),
