@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.llm.byte_bpe import word_ids
-from lodestar.llm.words import chunks, documents
+from lodestar.llm.words import chunks, documents, free_name
 from lodestar.session import written
 
 CAPACITY = 2048
@@ -105,10 +105,10 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def ranked(pieces: DataFrame, by: list[str], length: str = "length") -> DataFrame:
-    """``pieces`` with ``rank`` within their length (from 0, in the order of ``by``), range-sorted and written.
+def ranked(pieces: DataFrame, by: list[str], length: str, own: str) -> DataFrame:
+    """``pieces`` range-sorted by length and ``by``, with the range (``own_part``) and the rank within length and range.
 
-    A length may span many ranges; ranks are counted in each and moved by what the ranges before hold.
+    A length may span many ranges; what the ranges before hold of it is added to its ranks later.
     """
     parts = max(pieces.sparkSession.sparkContext.defaultParallelism, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -123,38 +123,37 @@ def ranked(pieces: DataFrame, by: list[str], length: str = "length") -> DataFram
             if lengths[0] == last:
                 ranks[: begins[1] if len(begins) > 1 else len(ranks)] += count
             last, count = lengths[-1], int(ranks[-1]) + 1
-            yield batch.append_column("local_rank", pa.array(ranks.astype(np.int64)))
+            yield batch.append_column(f"{own}_rank", pa.array(ranks.astype(np.int64)))
 
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, part int, local_rank long"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, {own}_part int, {own}_rank long"
     # Range bounds are sampled from the rows, so these are written before, or they would be made twice.
     ranges = (
         written(pieces, "pieces").repartitionByRange(parts, length, *by)
         .sortWithinPartitions(length, *by)
-        .withColumn("part", F.spark_partition_id())
+        .withColumn(f"{own}_part", F.spark_partition_id())
         .mapInArrow(numbered, schema)
     )
     return written(ranges, "ranked")
 
 
 def pack(pieces: DataFrame, by: list[str], capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; every length is from 1 to ``capacity``.
+    """``pieces`` with ``sequence_id`` and ``offset`` in place of columns of these names.
 
-    Ties of length go by the columns ``by``. An empty table gives an empty one.
+    Every length is from 1 to ``capacity``. Ties of length go by the columns ``by``. An empty table gives an empty one.
     """
-    spark = pieces.sparkSession
-    table = ranked(pieces, by, length)
+    pieces = pieces.drop("sequence_id", "offset")
+    spark, own, kept = pieces.sparkSession, free_name(pieces, "packing"), pieces.columns
+    table = ranked(pieces, by, length, own)
     # A row for each range and length in it: at most as many as ranges plus lengths.
-    held = written(table.groupBy("part", F.col(length).alias("held_length")).agg(F.count("*").alias("held")), "held")
+    held = written(table.groupBy(f"{own}_part", F.col(length).alias("held_length")).agg(F.count("*").alias("held")), "held")
     counts = {row[0]: row[1] for row in held.groupBy("held_length").agg(F.sum("held")).collect()}
     runs = np.array(sorted(best_fit_runs(counts, capacity)), np.int64).reshape(-1, 5)
-    before = Window.partitionBy("held_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = held.select("part", "held_length", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("moved"))
-    kept = [c for c in table.columns if c not in ("part", "local_rank")]
-    joined = (
-        table.alias("t")
-        .join(F.broadcast(moved).alias("m"), (F.col("t.part") == F.col("m.part")) & (F.col(f"t.{length}") == F.col("m.held_length")))
-        .select(*[F.col(f"t.`{c}`") for c in kept], (F.col("local_rank") + F.col("moved")).alias("rank"))
+    before = Window.partitionBy("held_length").orderBy(f"{own}_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.select(
+        F.col(f"{own}_part").alias(f"{own}_in"), F.col("held_length").alias(f"{own}_length"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias(f"{own}_moved")
     )
+    at_range = (table[f"{own}_part"] == moved[f"{own}_in"]) & (table[length] == moved[f"{own}_length"])
+    joined = table.join(F.broadcast(moved), at_range).select(*[f"`{c}`" for c in kept], (F.col(f"{own}_rank") + F.col(f"{own}_moved")).alias(f"{own}_rank"))
     sent = spark.sparkContext.broadcast(runs)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +161,13 @@ def pack(pieces: DataFrame, by: list[str], capacity: int = CAPACITY, length: str
         span = int(table[:, 1].max(initial=0)) + 1
         keys = table[:, 0] * span + table[:, 1]
         for batch in batches:
-            lengths, ranks = batch.column(length).to_numpy(), batch.column("rank").to_numpy()
+            lengths, ranks = batch.column(length).to_numpy(), batch.column(f"{own}_rank").to_numpy()
             run = table[np.searchsorted(keys, lengths * span + np.minimum(ranks, span - 1), side="right") - 1]
             columns = [*(batch.column(c) for c in kept), pa.array(run[:, 3] + ranks - run[:, 1]), pa.array(run[:, 4])]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "sequence_id", "offset"])
 
-    fields = {f.name: f.dataType.simpleString() for f in table.schema}
-    return joined.mapInArrow(placed, f"{', '.join(f'`{c}` {fields[c]}' for c in kept)}, sequence_id long, offset long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return joined.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

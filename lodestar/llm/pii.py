@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.words import documents
+from lodestar.llm.words import documents, free_name
 from lodestar.session import written
 
 #: In the order of results; the last one has no base pattern.
@@ -212,11 +212,12 @@ def masked(docs: DataFrame, how: Bootstrap = Bootstrap(), id_col: str = "doc_id"
         .groupBy(*doc)
         .agg(F.array_sort(F.collect_list(F.struct("start", "from", "end", "kind"))).alias("spans"))
     )
-    text = F.col(f"`{text_col}`")
+    own = free_name(docs, "pii")
+    side = islands.select(F.col("doc_id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_hash"), F.col("spans").alias(f"{own}_spans"))
+    text, listed = docs[f"`{text_col}`"], side[f"{own}_spans"]
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    pieces = F.transform("spans", lambda s: F.concat(F.substring(text, s["from"] + 1, s["start"] - s["from"]), F.element_at(tags, s["kind"] + 1)))
-    new = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at("spans", -1)["end"] + 1, F.length(text)))
-    side = islands.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
-    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(side["__id"]) & (F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit(""))) == side["__hash"])
-    changed = F.when(side["spans"].isNull(), text).otherwise(new)
+    pieces = F.transform(listed, lambda s: F.concat(F.substring(text, s["from"] + 1, s["start"] - s["from"]), F.element_at(tags, s["kind"] + 1)))
+    new = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(listed, -1)["end"] + 1, F.length(text)))
+    same = docs[f"`{id_col}`"].cast("long").eqNullSafe(side[f"{own}_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == side[f"{own}_hash"])
+    changed = F.when(listed.isNull(), text).otherwise(new)
     return docs.join(side, same, "left").select(*[changed.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns])

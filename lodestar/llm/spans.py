@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.words import VISIBLE, chunks, documents, hashes_at, mixed, runs_hash, word_places
+from lodestar.llm.words import VISIBLE, chunks, documents, free_name, hashes_at, mixed, runs_hash, word_places
 
 
 @dataclass(frozen=True)
@@ -159,13 +159,6 @@ def without_repeats(docs: DataFrame, how: SentenceSpans = SentenceSpans(), id_co
     return joined.mapInArrow(cut, f"{schema}, `{extra}` struct<n_sentences:bigint,n_removed:bigint,spans:array<struct<first:int,last:int>>,first_doc_ids:array<bigint>>")
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores until no column of ``docs`` begins with it."""
-    while any(c.lower().startswith(name) for c in docs.columns):
-        name = f"_{name}"
-    return name
-
-
 def cleaned(docs: DataFrame, how: SentenceSpans = SentenceSpans(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated sentences; rows that lose all their text go."""
     out = without_repeats(docs, how, id_col, text_col)

@@ -139,3 +139,10 @@ def documents(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         *more,
     )
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``docs`` begins with it."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = f"_{name}"
+    return name
