@@ -1,14 +1,14 @@
 """Near-duplicates by MinHash signatures and a multi-index Hamming join.
 
-A signature has ``slots`` values of 16 bits; its distance to another is the number of slots that differ. The slots
-are split into chunks. Of two signatures no further apart than ``errors_per_chunk * chunks + chunks - 1`` one chunk
+A signature has ``slots`` values of 8 bits; its distance to another is the number of slots that differ. The first
+``index_slots`` are split into chunks. Of two signatures no further apart than ``errors_per_chunk * chunks + chunks - 1`` one chunk
 has at most ``errors_per_chunk`` differing slots (pigeonhole), so a key is made for every chunk and every choice of
 that many slots left out of it: such a pair always shares a key. Pairs are confirmed on the full shingle sets.
 
 Texts with equal sets are one class, found by a 128-bit fingerprint. A key's classes are not paired with each other:
-each is compared with the first one (a star), the nearest first, and only while the two are in different components.
-Then what still lies in different components under one key is compared in full. So a group of n near copies costs
-about n comparisons, and no link between components is lost.
+each is compared with the one that shares most keys with others (a star), the nearest first, and only while the two
+are in different components. What still lies in different components under one key after these rounds is compared in
+full. So a group of n near copies costs about n comparisons, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +32,21 @@ from lodestar.session import written
 class MinHash:
     """Documents are linked if ``100 * shared >= percent * all`` of their distinct shingles.
 
-    All pairs of signatures up to distance ``2 * chunks - 1`` are found with one error to a chunk: 23 of 64 slots,
-    where 12.8 are expected at a similarity of 0.8 and 23 are exceeded by less than one in a thousand pairs. Of
-    pairs further apart many are found too; they are confirmed as well unless further apart than ``far``.
+    With one error to a chunk, all pairs are found of which up to ``2 * chunks - 1`` = 23 of the 64 indexed slots
+    differ, where 12.8 are expected at a similarity of 0.8 and 23 are exceeded by less than one in a thousand pairs;
+    of pairs further apart nearly all are found too. They are confirmed unless more than ``far`` of all 768 slots
+    differ, where 154 are expected at 0.8 with a deviation of 11. A task compares ``block`` members of a key with as many.
     """
 
     shingle_words: int = 2
     percent: int = 80
-    slots: int = 64
+    slots: int = 768
+    index_slots: int = 64
     chunks: int = 12
     errors_per_chunk: int = 1
-    far: int = 34
+    far: int = 200
+    stars: int = 2
+    block: int = 2048
     seed: int = 3
 
     @property
@@ -72,17 +76,18 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def _signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> bytes:
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for begin in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[begin : begin + 4096, None] * factors + shifts).min(axis=0))
-    return (mixed(least) >> np.uint64(48)).astype("<u2").tobytes()
+    values = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for begin in range(0, len(values), 512):
+        least = np.minimum(least, (values[begin : begin + 512, None] * factors + shifts).min(axis=0))
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, how: MinHash, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, n_shingles, fingerprint, signature`` of every row; no fingerprint without words."""
     random = np.random.default_rng(how.seed)
-    factors = random.integers(1, 1 << 63, how.slots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shifts = random.integers(0, 1 << 63, how.slots, dtype=np.uint64)
+    factors = random.integers(1, 1 << 31, how.slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    shifts = random.integers(0, 1 << 32, how.slots, dtype=np.uint32)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,26 +108,36 @@ def signatures(docs: DataFrame, how: MinHash, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(signed, "doc_id long, text_hash long, n_shingles long, fingerprint binary, signature binary")
 
 
+def _left_in(how: MinHash) -> list[list[int]]:
+    """Slots of every key: those of a chunk but for the left-out ones."""
+    parts = np.array_split(np.arange(how.index_slots), how.chunks)
+    return [[s for s in part.tolist() if s not in out] for part in parts for out in combinations(part.tolist(), how.errors_per_chunk)]
+
+
+def _slots(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def index_keys(classes: DataFrame, how: MinHash) -> DataFrame:
-    """``key, node``: for every chunk and every choice of left-out slots a hash of the other slots of the chunk."""
-    parts = np.array_split(np.arange(how.slots), how.chunks)
-    left = [(c, [s for s in part.tolist() if s not in out]) for c, part in enumerate(parts) for out in combinations(part.tolist(), how.errors_per_chunk)]
+    """``key, part, node``: for every chunk and every choice (``part``) of left-out slots a hash of its other slots."""
+    left = _left_in(how)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            slots = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(len(batch), -1).astype(np.uint64)
+            slots = _slots(batch.column("signature")).astype(np.uint64)
             keys = np.empty((len(batch), len(left)), np.uint64)
-            for i, (_, kept) in enumerate(left):
+            for i, kept in enumerate(left):
                 key = np.full(len(batch), i, np.uint64)
                 for slot in kept:
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, slot])
                 keys[:, i] = key
             nodes = np.repeat(batch.column("node").to_numpy(), len(left))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
+            parts = np.tile(np.arange(len(left), dtype=np.int32), len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(parts), pa.array(nodes)], ["key", "part", "node"])
 
-    return classes.select("node", "signature").mapInArrow(keyed, "key long, node long")
+    return classes.select("node", "signature").mapInArrow(keyed, "key long, part int, node long")
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
@@ -132,11 +147,9 @@ def near_enough(pairs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame
         for batch in batches:
             if not len(batch):
                 continue
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(len(batch), -1) for c in ("one", "two"))
-            distance = (one != two).sum(axis=1)
-            near = pa.array(distance <= how.far)
+            distance = (_slots(batch.column("one")) != _slots(batch.column("two"))).sum(axis=1)
             rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
-            yield rows.filter(near)
+            yield rows.filter(pa.array(distance <= how.far))
 
     def side(node: str, signature: str, size: str) -> DataFrame:
         return classes.select(F.col("node").alias(node), F.col("signature").alias(signature), F.col("n_shingles").alias(size))
@@ -150,6 +163,71 @@ def near_enough(pairs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame
     )
 
 
+def near_in_keys(member: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
+    """``a, b`` of all near enough pairs of different components that share a key, each once.
+
+    The members of a key are compared where they lie, in blocks, and only near pairs become rows; a pair is given
+    by the first of its keys. A key with many members is split into pairs of blocks.
+    """
+    left = _left_in(how)
+    blocks = member.groupBy("key").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = (
+        member.join(blocks, "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(classes.select("node", "n_shingles", "signature"), "node")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "part", "node", "label", "n_shingles", "signature")
+    )
+    group = ["key", "low", "high"]
+
+    def compared(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, label, size, own = (part.column(c).to_numpy() for c in ("node", "label", "n_shingles", "own"))
+        low, high, choice = part.column("low")[0].as_py(), part.column("high")[0].as_py(), part.column("part")[0].as_py()
+        slots = _slots(part.column("signature"))
+        found_a, found_b = [], []
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            fits = (label[rest] != label[i]) & (node[rest] != node[i]) & (100 * np.minimum(size[rest], size[i]) >= how.percent * np.maximum(size[rest], size[i]))
+            if low != high:
+                fits &= own[rest] != own[i]
+            rest = rest[fits]
+            differ = slots[rest] != slots[i]
+            near = differ.sum(axis=1) <= how.far
+            rest, differ = rest[near], differ[near]
+            for earlier in left[:choice]:
+                if not len(rest):
+                    break
+                again = ~differ[:, earlier].any(axis=1)
+                rest, differ = rest[~again], differ[~again]
+            found_a.append(np.full(len(rest), node[i]))
+            found_b.append(node[rest])
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is None or not len(held):
+                continue
+            columns = [held.column(c).to_numpy() for c in group]
+            change = np.zeros(len(held) - 1, bool)
+            for c in columns:
+                change |= c[1:] != c[:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(held)]
+            # The last group may go on in the next batch.
+            done = edges if batch is None else edges[:-1]
+            pairs = [compared(held.slice(x, y - x)) for x, y in zip(done[:-1], done[1:], strict=True) if y - x > 1]
+            held = held.slice(done[-1])
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(paired, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
     """``a, b`` of the pairs whose full sets are similar enough."""
 
@@ -191,6 +269,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     null or empty text has no shingles and is linked with nothing. Rows with the same id are one document to the
     caller, but each text is compared; a row without an id is never the smallest of its component.
     """
+    spark = docs.sparkSession
     rows = written(signatures(docs, how, id_col, text_col), "signatures")
     full = rows.where("fingerprint IS NOT NULL")
     classes = written(
@@ -200,36 +279,25 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
         "classes",
     )
     entries = index_keys(classes, how)
-    shared = entries.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1")
-    members = written(entries.join(shared.select("key", "center"), "key"), "members")
-    star = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(near_enough(star, classes, how), "star_pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, wanted, classes, how, id_col, text_col), "sets")
-
-    nearest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("n")).select("n.a", "b")
-    links = written(confirmed(nearest, sets, how), "links")
-    labels = components(links)
-    links = links.union(written(confirmed(apart(pairs.select("a", "b"), labels).join(nearest, ["a", "b"], "left_anti"), sets, how), "links"))
-    labels = components(links)
-
-    # What shares a key but neither is the first one of it, in different components.
-    member = members.join(labels, "node", "left").select("key", "node", "center", F.coalesce("label", "node").alias("label"))
-    mixed_keys = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    open_keys = written(member.where("node <> center").join(mixed_keys, "key"), "open_keys")
-    one, two = open_keys.alias("one"), open_keys.alias("two")
-    rest = (
-        one.join(two, F.col("one.key") == F.col("two.key"))
-        .where((F.col("one.node") < F.col("two.node")) & (F.col("one.label") != F.col("two.label")))
-        .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-        .distinct()
-    )
-    more = written(near_enough(rest, classes, how).select("a", "b"), "more_pairs")
-    new = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(sets, "node", "left_anti")
-    all_sets = sets.union(written(sets_of(docs, new, classes, how, id_col, text_col), "sets"))
-    labels = components(links.union(written(confirmed(more, all_sets, how), "links")))
-
-    labelled = classes.select("fingerprint", "n_shingles", "least_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(entries.join(shared, "key"), "members")
+    # The class that shares most keys with others lies in the middle of its group, so it is what others are compared with.
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    weighed = written(members.select("key", "part", "node").join(weight, "node"), "weighed")
+    labels = classes.select("node", F.col("node").alias("label"))
+    links, seen = spark.createDataFrame([], "a long, b long"), []
+    for _ in range(how.stars):
+        pairs = written(near_enough(starred(weighed, labels), classes, how), "pairs")
+        # The nearest one of each class first; the others only if they would join two components.
+        nearest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("n")).select("n.a", "b")
+        links, labels = joined_by(docs, nearest, links, classes, how, id_col, text_col)
+        others = apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels)
+        links, labels = joined_by(docs, others, links, classes, how, id_col, text_col)
+    # What shares a key but is still in different components.
+    rest = near_in_keys(open_members(weighed, labels), classes, how).distinct()
+    links, labels = joined_by(docs, rest, links, classes, how, id_col, text_col)
+
+    labelled = classes.select("fingerprint", "least_id", "node").join(labels, "node")
     smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_class = labelled.join(smallest, "label").select("fingerprint", "component_id")
     joined = full.join(of_class, "fingerprint").select("doc_id", "n_shingles", "component_id", "text_hash")
@@ -237,18 +305,39 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     return joined.union(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
+def open_members(weighed: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, part, node, weight, label`` of the keys whose classes are in more than one component."""
+    member = weighed.join(labels, "node")
+    keys = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return written(member.join(keys, "key"), "open_members")
+
+
+def starred(weighed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of the weightiest class of each such key with those of other components."""
+    member = open_members(weighed, labels)
+    center = member.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.label").alias("of"))
+    return member.join(center, "key").where("label <> of").select("a", F.col("node").alias("b")).distinct()
+
+
+def joined_by(
+    docs: DataFrame, pairs: DataFrame, links: DataFrame, classes: DataFrame, how: MinHash, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """All links with those of the pairs that are confirmed, and the label ``node, label`` of every class."""
+    pairs = written(pairs.select("a", "b"), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = written(sets_of(docs, wanted, classes, how, id_col, text_col), "sets")
+    links = links.union(written(confirmed(pairs, sets, how), "links"))
+    labels = classes.select("node").join(components(links), "node", "left")
+    return links, written(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
 
     def side(node: str) -> DataFrame:
         return labels.select(F.col("node").alias(node), F.col("label").alias(f"label_{node}"))
 
-    return (
-        pairs.join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
-        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        .select("a", "b")
-    )
+    return pairs.join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b").select("a", "b")
 
 
 def first_of_groups(docs: DataFrame, how: MinHash = MinHash(shingle_words=5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

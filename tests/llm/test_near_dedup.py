@@ -81,9 +81,9 @@ def test_signatures_at_the_guaranteed_distance_share_a_key(spark):
     how, pick = MinHash(), np.random.default_rng(1)
     rows = []
     for pair in range(40):
-        one = pick.integers(0, 1 << 16, how.slots, dtype=np.uint16)
+        one = pick.integers(0, 1 << 8, how.slots, dtype=np.uint8)
         two = one.copy()
-        two[pick.choice(how.slots, how.guaranteed, replace=False)] += np.uint16(1 + pair)
+        two[pick.choice(how.index_slots, how.guaranteed, replace=False)] += np.uint8(1 + pair)
         rows += [(2 * pair, bytearray(one.tobytes())), (2 * pair + 1, bytearray(two.tobytes()))]
     keys = index_keys(spark.createDataFrame(rows, "node long, signature binary"), how).collect()
     by_node = {}
