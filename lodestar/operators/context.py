@@ -43,7 +43,8 @@ class StudyFiles:
 def first_rows(df: DataFrame, keys: list[str], order: list[str], rows: int = PREVIEW_ROWS) -> DataFrame:
     """First rows of each group with their position ``row_pos`` from 0."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("row_pos", rank - 1).where(F.col("row_pos") < rows)
+    # Filtered on the rank itself, so that every task keeps its first rows only.
+    return df.withColumn("row_pos", rank).where(F.col("row_pos") <= rows).withColumn("row_pos", F.col("row_pos") - 1)
 
 
 def preview_texts(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

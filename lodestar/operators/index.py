@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import bigrams, digit_runs, kept_tokens, with_bigrams, word_tokens
-from lodestar.session import broadcast_within, is_small, written
+from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, IndexSettings
 
 FEATURE_BUCKETS = 64
@@ -89,24 +89,27 @@ def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
     only of words that reach the count of the last word that would make the vocabulary; the many
     pairs of rare words are neither counted nor shuffled.
     """
-    if not settings.max_features:
+    if settings.max_features == 0:
         return corpus.sparkSession.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
-    tokens = _tokens(by_entry(corpus) if is_small(corpus) else corpus, "ord", settings)
+    tokens = written(_tokens(by_entry(corpus), "ord", settings), "tokens")
     words = written(_summed(_totals(tokens.select(F.col("tokens").alias("listed")))), "words")
-    best = words.orderBy(F.desc("total")).limit(settings.max_features)
-    reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
-    floor = reached.total if reached.n == settings.max_features else 1
-    frequent = words.where(F.col("total") >= floor)
-    rows = frequent.count()
-
     pairs = _totals(tokens.select(bigrams(F.col("tokens")).alias("listed")))
-    if rows <= BROADCAST_ROWS:
+    frequent = words
+    if settings.max_features is not None:
+        best = words.orderBy(F.desc("total")).limit(settings.max_features)
+        reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
+        floor = reached.total if reached.n == settings.max_features else 1
+        frequent = words.where(F.col("total") >= floor)
+        # Equal pairs are added up before they are joined; Spark picks the join by the size of the words.
+        pairs = pairs.groupBy("term").agg(F.sum("occurs").alias("occurs"), F.sum("new").alias("new"))
         for side, part in (("first", 1), ("second", -1)):
-            known = F.broadcast(frequent.select(F.col("term").alias(side)))
+            known = frequent.select(F.col("term").alias(side))
             pairs = pairs.join(known, F.substring_index("term", " ", part) == F.col(side), "left_semi")
     entries = corpus.agg(F.count("*")).scalar()
     idf = F.log((F.lit(1.0) + entries) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocab = frequent.unionByName(_summed(pairs)).orderBy(F.desc("total"), "term").limit(settings.max_features)
+    vocab = frequent.unionByName(_summed(pairs))
+    if settings.max_features is not None:
+        vocab = vocab.orderBy(F.desc("total"), "term").limit(settings.max_features)
     return written(vocab.select("term", "df", "total", idf.alias("idf")), "vocabulary")
 
 
@@ -116,7 +119,9 @@ def weights(texts: DataFrame, key: str, vocab: DataFrame, settings: IndexSetting
     Unknown terms, most of all pairs, leave before anything is counted. The cap on the vocabulary
     is its proven row bound.
     """
-    known = broadcast_within(vocab.select("term", "idf"), settings.max_features, BROADCAST_ROWS)
+    known = vocab.select("term", "idf")
+    if settings.max_features is not None:
+        known = broadcast_within(known, settings.max_features, BROADCAST_ROWS)
     raw = (
         terms(texts, key, settings)
         .join(known, "term")
@@ -155,6 +160,9 @@ def write_index(index: SearchIndex, path: str) -> None:
     only the folders of their features. The rebalance keeps the folders in files of even size,
     also where one word occurs in most entries.
     """
+    kept = [(list(index.settings.stop_words), index.settings.max_features)]
+    spark = index.entries.sparkSession
+    spark.createDataFrame(kept, "stop_words ARRAY<STRING>, max_features INT").write.mode("overwrite").parquet(f"{path}/settings")
     index.entries.write.mode("overwrite").parquet(f"{path}/entries")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     index.runs.where(F.size("runs") > 0).write.mode("overwrite").parquet(f"{path}/runs")
@@ -167,7 +175,9 @@ def feature_bucket(feature: Column) -> Column:
     return F.pmod(F.hash(feature), F.lit(FEATURE_BUCKETS))
 
 
-def read_index(spark: SparkSession, path: str, settings: IndexSettings = IndexSettings()) -> SearchIndex:
-    """Tables of a written index."""
+def read_index(spark: SparkSession, path: str) -> SearchIndex:
+    """Tables of a written index, with the settings that it was built by."""
+    kept = spark.read.parquet(f"{path}/settings").first()
+    settings = IndexSettings(tuple(kept.stop_words), kept.max_features)
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("entries", "vocabulary", "terms", "words", "runs")}
     return SearchIndex(**tables, settings=settings)

@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.functions.numbers import FALSE_WORDS, NUMERIC, TRUE_WORDS, fixed, float_text, round_binary
-from lodestar.session import broadcast_within, spread_small, written
+from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, RENDERED_NUMBERS, TOP_VALUES
 
 TEXT, NUMBER, BOOLEAN = 0, 1, 2
 
+# Fixed value: whole numbers from here on are not all doubles; they are told apart by their digits.
+EXACT_DOUBLES = float(1 << 53)
+
 
 def frame_cells(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
     """Cells ``(keys, col_pos, kind, num, txt)`` of a typed table: one row per row and column."""
     fields = [df.schema[name] for name in (columns or df.columns)]
-    rows = spread_small(df.select(*keys, *[F.col(f"`{field.name}`") for field in fields]))
-    return rows.select(*keys, F.inline(F.array(*[_cell(i, field) for i, field in enumerate(fields)])))
+    return df.select(*keys, F.inline(F.array(*[_cell(i, field) for i, field in enumerate(fields)])))
 
 
 def named_columns(owners: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -42,6 +44,8 @@ def _cell(position: int, field: T.StructField) -> Column:
         kind, num = BOOLEAN, value.cast("double")
     elif isinstance(field.dataType, T.NumericType):
         kind, num = NUMBER, F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+        if isinstance(field.dataType, (T.LongType, T.DecimalType)):
+            txt = F.when(F.abs(num) >= EXACT_DOUBLES, value.cast("string"))
     elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
         txt = F.to_json(value)
     else:
@@ -68,7 +72,10 @@ def text_frequencies(cells: DataFrame, keys: Sequence[str], value: str = "value"
     is_text = F.col("kind") == TEXT
     number = F.when(F.col("kind") == BOOLEAN, F.col("raw").isin(*TRUE_WORDS).cast("double")).otherwise(as_number(F.col("raw")))
     return (
-        typed.select(*keys, "kind", F.when(~is_text, number).alias("num"), F.when(is_text, F.col("raw")).alias("txt"), "n")
+        typed.select(
+            *keys, "kind", F.when(~is_text, number).alias("num"),
+            F.when(is_text, F.col("raw")).when(F.col("kind") == NUMBER, _digits(F.col("raw"))).alias("txt"), "n",
+        )
         .groupBy(*keys, "kind", "num", "txt")
         .agg(F.sum("n").alias("n"))
     )
@@ -79,10 +86,17 @@ def as_number(raw: Column) -> Column:
     return F.when(F.rlike(raw, F.lit(NUMERIC)), F.trim(raw).try_cast("double"))
 
 
+def _digits(raw: Column) -> Column:
+    """Digits of a whole number too large for doubles, NULL for others."""
+    whole = F.when(F.rlike(raw, F.lit(r"^\s*[+-]?[0-9]{16,38}\s*$")), F.trim(raw).try_cast("decimal(38,0)"))
+    return F.when(F.abs(whole) >= 1 << 53, whole.cast("string"))
+
+
 def column_kinds(raw: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Kind ``(keys, kind)`` of each column of text cells ``(keys, raw, n)``.
 
-    A column of booleans with a missing cell is text; numbers may have missing cells.
+    A column of booleans with a missing cell is text; numbers may have missing cells. (In typed
+    tables the same is decided when the ranges are added up.)
     """
     present = F.col("raw").isNotNull()
     numeric = F.bool_and(F.when(present, F.rlike("raw", F.lit(NUMERIC))))
@@ -106,6 +120,8 @@ class Frequencies:
 
 def ranged(freq: DataFrame, keys: Sequence[str]) -> Frequencies:
     """Write frequencies once, numbers sorted into ranges of even size over all columns."""
+    # Written first: both halves and the sample of the range bounds read it.
+    freq = written(freq, "values")
     numbers = freq.where(F.col("num").isNotNull()).repartitionByRange(*keys, "num")
     others = freq.where(F.col("num").isNull()).withColumn("bucket", F.lit(-1))
     table = written(numbers.withColumn("bucket", F.spark_partition_id()).unionByName(others), "frequencies")
@@ -115,6 +131,7 @@ def ranged(freq: DataFrame, keys: Sequence[str]) -> Frequencies:
         table.groupBy(*keys, "bucket").agg(
             F.max("kind").alias("kind"),
             F.coalesce(F.sum(count), F.lit(0)).alias("count"),
+            F.max(~present).alias("missing"),
             F.count(count).alias("unique"),
             F.sum(F.col("num") * F.col("n")).alias("total"),
             F.min("num").alias("min"),
@@ -125,12 +142,17 @@ def ranged(freq: DataFrame, keys: Sequence[str]) -> Frequencies:
     return Frequencies(table, ranges, ranges.count(), tuple(keys))
 
 
+def _kind() -> Column:
+    """Kind of a column from its ranges: booleans with a missing cell are text."""
+    return F.when((F.max("kind") == BOOLEAN) & F.max("missing"), TEXT).otherwise(F.max("kind"))
+
+
 def counts(f: Frequencies) -> DataFrame:
     """Per column ``(keys, kind, count, unique, mean, min, max)``."""
     return (
         f.ranges.groupBy(*f.keys)
         .agg(
-            F.max("kind").alias("kind"),
+            _kind().alias("kind"),
             F.sum("count").alias("count"),
             F.sum("unique").alias("unique"),
             F.sum("total").alias("total"),
@@ -210,7 +232,7 @@ def top_values(f: Frequencies, top_n: int = TOP_VALUES) -> DataFrame:
     """Most frequent values ``(keys, rank, value, num, count, pct)``, ties by value."""
     keys = list(f.keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "num", "txt")
-    totals = f.ranges.groupBy(*keys).agg(F.sum("count").alias("total"))
+    totals = f.ranges.groupBy(*keys).agg(F.sum("count").alias("total"), _kind().alias("column_kind"))
     number = F.when(F.col("kind") == BOOLEAN, F.when(F.col("num") == 1, F.lit("True")).otherwise(F.lit("False"))).otherwise(
         float_text(F.col("num"))
     )
@@ -223,7 +245,7 @@ def top_values(f: Frequencies, top_n: int = TOP_VALUES) -> DataFrame:
             *keys,
             "rank",
             F.coalesce(F.col("txt"), number).alias("value"),
-            "num",
+            F.when(F.col("column_kind") != TEXT, F.col("num")).alias("num"),
             F.col("n").alias("count"),
             round_binary(F.lit(100.0) * F.col("n") / F.col("total"), 2).alias("pct"),
         )

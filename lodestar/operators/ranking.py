@@ -146,7 +146,7 @@ def score_pairs(
 
     none, no_sim = F.lit(0), F.lit(0.0)
     shared = part(shared_words(index, questions, shape, small), no_sim, 1, F.col("words"), 0)
-    if index.settings.max_features:
+    if index.settings.max_features != 0:
         shared = shared.unionByName(part(shared_terms(index, questions, shape, small), F.col("product"), 0, none, 0))
     if shape.number_lengths:
         shared = shared.unionByName(part(found_numbers(index, questions, shape, small), no_sim, 0, none, 1))

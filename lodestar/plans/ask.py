@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.answers import (
@@ -23,6 +23,7 @@ from lodestar.operators.ranking import dataset_hits, only_hit, publication_hits,
 from lodestar.operators.urls import gathered
 from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, RankSettings
+from lodestar.sources.export import data_link, json_text
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,13 @@ def used_lists(questions: DataFrame, datasets: DataFrame, publications: DataFram
     of_papers = publications.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "title", "link", "score", "sim", "overlap"))).alias("used_publications")
     )
-    return questions.select("query_id").join(of_datasets, "query_id", "left").join(of_papers, "query_id", "left")
+    joined = questions.select("query_id").join(of_datasets, "query_id", "left").join(of_papers, "query_id", "left")
+    return joined.select("query_id", _or_empty(joined, "used_datasets"), _or_empty(joined, "used_publications"))
+
+
+def _or_empty(df: DataFrame, name: str) -> Column:
+    """An array column with an empty list in place of NULL."""
+    return F.coalesce(F.col(name), F.array().cast(df.schema[name].dataType)).alias(name)
 
 
 def local_summaries(
@@ -126,7 +133,7 @@ def ask(
     none = F.array().cast("array<string>")
     fallback = F.col("content").isNull()
     meta = F.struct(fallback.alias("fallback"), "model", "usage")
-    return (
+    records = (
         questions.select("query_id")
         .join(cleaned(given).drop("urls"), "query_id", "left")
         .join(local_summaries(questions, combined, used, own_urls), "query_id")
@@ -144,3 +151,10 @@ def ask(
             "structured",
         )
     )
+    return records.withColumn("structured", _or_empty(records, "structured"))
+
+
+def metadata_bundles(records: DataFrame) -> DataFrame:
+    """Per answer record ``(query_id, bundle, link)``: what it was made of, as indented JSON and as a data link."""
+    bundle = json_text(F.struct("meta", "used_datasets", "used_publications", "structured"), pretty=True)
+    return records.select("query_id", bundle.alias("bundle")).withColumn("link", data_link(F.col("bundle")))

@@ -13,9 +13,9 @@ from lodestar.operators.context import StudyFiles, cell_preview_texts, first_row
 from lodestar.operators.corpus import sample_texts
 from lodestar.operators.profile import frame_cells, frequencies, named_columns, profile, profile_cells, ranged
 from lodestar.session import broadcast_within, written
-from lodestar.settings import BROADCAST_ROWS
+from lodestar.settings import BROADCAST_ROWS, HEAD_CHARS, PREVIEW_ROWS, SAMPLE_COLUMNS
 from lodestar.sources.catalog import catalog_files, existing_paths, mark_missing
-from lodestar.sources.delimited import first_cells, preview_rows, raw_heads, read_delimited
+from lodestar.sources.delimited import CELLS_SCHEMA, first_cells, preview_rows, raw_heads, read_delimited
 
 KEYS = ("dataset", "file_pos", "col_pos")
 
@@ -79,22 +79,38 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def file_study(
-    spark: SparkSession, catalog: DataFrame, root: str, analysis_rows: int | None = None, multi_line: bool = True
+    spark: SparkSession,
+    catalog: DataFrame,
+    root: str,
+    analysis_rows: int | None = None,
+    multi_line: bool = True,
+    wanted: DataFrame | None = None,
+    max_files: int | None = None,
 ) -> StudyFiles:
     """Study files below a folder, as the catalogue names them.
 
-    All tables are read in one scan per separator; a file that is no table has its raw head.
+    All tables are read in one scan per separator; a file that is no table has its raw head. Given the datasets
+    ``(dataset)`` that are wanted, only their files are opened; their paths, some for each hit, go to the driver, whose
+    file index holds the paths of what it reads anyway. ``max_files`` keeps the first files of each dataset.
     """
-    named = mark_missing(catalog_files(catalog), existing_paths(spark, root)).withColumn(
+    if wanted is not None:
+        catalog = catalog.join(wanted, "dataset", "left_semi")
+    named = mark_missing(catalog_files(catalog, max_files), existing_paths(spark, root)).withColumn(
         "file_name", F.element_at(F.split("path", "/"), -1)
     )
     files = written(named, "files")
     slots = files.where(~F.col("missing")).select("dataset", "file_pos", "path")
     slots = broadcast_within(slots, files.count(), BROADCAST_ROWS)
-    cells = written(read_delimited(spark, root, analysis_rows, multi_line).join(slots, "path"), "cells")
+    source: str | list[str] = root
+    if wanted is not None:
+        source = [row.path for row in files.where(~F.col("missing") & (F.col("path") != "")).select("path").distinct().collect()]
+    empty = not source
+    read = spark.createDataFrame([], CELLS_SCHEMA) if empty else read_delimited(spark, source, analysis_rows, multi_line)
+    cells = written(read.join(slots, "path"), "cells")
     columns = cells.select(*KEYS, "column").distinct()
     with_rows = columns.select("dataset", "file_pos").distinct()
-    heads = raw_heads(spark, root).join(slots, "path").join(with_rows, ["dataset", "file_pos"], "left_anti")
+    raw = spark.createDataFrame([], "path STRING, text STRING") if empty else raw_heads(spark, source)
+    heads = raw.join(slots, "path").join(with_rows, ["dataset", "file_pos"], "left_anti")
     return StudyFiles(
         files=files.select("dataset", "file_pos", "name", "file_name", "missing"),
         previews=cell_preview_texts(first_cells(cells, ["dataset", "file_pos"]), ["dataset", "file_pos"]),
@@ -103,7 +119,14 @@ def file_study(
     )
 
 
-def file_texts(spark: SparkSession, root: str, mode: str = "sample") -> DataFrame | None:
+def file_texts(
+    spark: SparkSession,
+    root: str,
+    mode: str = "sample",
+    max_columns: int = SAMPLE_COLUMNS,
+    rows: int = PREVIEW_ROWS,
+    chars: int = HEAD_CHARS,
+) -> DataFrame | None:
     """Text ``(path, text)`` of each file below a folder for the search entry of its dataset.
 
     ``sample``: column names and first rows of tables, the raw head of other files. ``raw_head``:
@@ -111,8 +134,8 @@ def file_texts(spark: SparkSession, root: str, mode: str = "sample") -> DataFram
     """
     if mode == "none":
         return None
-    heads = raw_heads(spark, root)
+    heads = raw_heads(spark, root, chars)
     if mode == "raw_head":
         return heads
-    samples = written(sample_texts(preview_rows(spark, root)), "samples")
+    samples = written(sample_texts(preview_rows(spark, root, rows), max_columns, rows), "samples")
     return samples.unionByName(heads.join(samples.select("path"), "path", "left_anti"))

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A table estimated at no more than this may be spread over all cores before heavy work.
-SMALL_BYTES = 1 << 30
-
-_local_workspace: dict[str, str] = {}
-
-
 def _workspace(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_workspace:
-        _local_workspace[app] = tempfile.mkdtemp(prefix="lodestar-")
-    return _local_workspace[app]
+    # The warehouse is shared by all executors too.
+    return shared or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -59,18 +46,29 @@ def broadcast_within(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether Catalyst estimates the rows at no more than ``SMALL_BYTES``.
+def with_ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its place in the order of the columns ``order``, from 0 and without gaps.
 
-    Large tables arrive in as many parts as there is work for; a small one may be a single row
-    group, which would be left to one task if it is not spread.
+    Rows are range-sorted and written, and counted in each range; a range's rows follow those of the ranges before
+    it. What is added up in one place is one count per range.
     """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    table = written(ranges, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = table.groupBy("_range").agg(F.count("*").alias("_rows"))
+    moved = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return table.join(moved, "_range").withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A small table spread evenly over all cores, a large one as it is read."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that jobs of this session have written between their stages.
+
+    To be called when the results of the jobs have been taken; otherwise it happens when the session ends.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{_workspace(spark).rstrip('/')}/lodestar/{spark.sparkContext.applicationId}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ordered_join(items: Column, separator: str, field: str) -> Column:

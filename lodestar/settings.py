@@ -37,10 +37,10 @@ SCORE_DIGITS = 9
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """How texts become terms. ``max_features=0`` gives an index without a vocabulary."""
+    """How texts become terms. ``max_features=0`` gives an index without a vocabulary, ``None`` one without a cap."""
 
     stop_words: tuple[str, ...] = field(default=ENGLISH)
-    max_features: int = MAX_FEATURES
+    max_features: int | None = MAX_FEATURES
 
 
 @dataclass(frozen=True)

@@ -51,12 +51,14 @@ def file_headers(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     meta = F.col("_metadata")
     text = spark.read.option("recursiveFileLookup", "true").text(paths)
     line = F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "")
-    numbered = text.select(
-        meta["file_path"].alias("uri"),
-        F.struct(meta["file_block_start"], F.monotonically_increasing_id()).alias("place"),
-        line.alias("line"),
+    # The header is in the first block of a file. Sequence numbers rise within it, so every task keeps one line a file.
+    order = Window.partitionBy("uri").orderBy("seq")
+    first = (
+        text.where(meta["file_block_start"] == 0)
+        .select(meta["file_path"].alias("uri"), F.monotonically_increasing_id().alias("seq"), line.alias("line"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= 1)
     )
-    first = numbered.groupBy("uri").agg(F.min_by("line", "place").alias("line"))
     separator = F.when(F.contains("line", F.lit("\t")), F.lit("\t")).when(F.contains("line", F.lit(",")), F.lit(","))
     return first.withColumn("separator", separator).select(
         local_path(F.col("uri")).alias("path"),
@@ -104,12 +106,19 @@ def _cells(spark: SparkSession, tables: DataFrame, group, analysis_rows: int | N
         )
     )
     headers = tables.where(F.col("separator") == group.separator).select("path", "names")
-    first = rows.groupBy("path").agg(F.min_by("cells", F.struct("block", "seq")).alias("first"))
+    in_file = Window.partitionBy("path").orderBy("seq")
+    first = (
+        rows.where(F.col("block") == 0)
+        .withColumn("rank", F.row_number().over(in_file))
+        .where(F.col("rank") <= 1)
+        .select("path", F.col("cells").alias("first"))
+    )
     wider = F.exists(F.slice("first", F.size("names") + 1, len(fields)), lambda cell: cell.isNotNull())
     usable = headers.join(first, "path", "left").where(~F.coalesce(wider, F.lit(False))).select("path", "names")
     if analysis_rows is not None:
         order = Window.partitionBy("path").orderBy("block", "seq")
-        rows = rows.withColumn("row_pos", F.row_number().over(order) - 1).where(F.col("row_pos") < analysis_rows)
+        rows = rows.withColumn("row_pos", F.row_number().over(order)).where(F.col("row_pos") <= analysis_rows)
+        rows = rows.withColumn("row_pos", F.col("row_pos") - 1)
     else:
         # A block starts at a byte offset and a task's sequence number is its partition index
         # times 2^33 plus the row, so the two orders agree within a file.

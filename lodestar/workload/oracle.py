@@ -126,11 +126,14 @@ SELECT 'part-' || p_partkey AS dataset, CAST(file_pos AS BIGINT) AS file_pos, na
   (2, 'assays', CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type || '/a1.txt' END), (3, 'extra', 'x.txt')) AS f(file_pos, name, path)
 """
 _add("catalog_entries", """
-SELECT 'part-' || p_partkey AS dataset, CAST(0 AS BIGINT) AS pos, p_brand AS organism, p_type AS assay_types, 'f/' || p_size AS folder,
+SELECT 'part-' || p_partkey AS dataset, row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_brand AS organism, p_type AS assay_types, 'f/' || p_size AS folder,
   p_name AS description, CAST(5 AS BIGINT) AS n_files FROM part
 """)
-_add("publication_entries", "SELECT CAST(0 AS BIGINT) AS pos, title, link FROM publications UNION ALL SELECT 0, '', link FROM publications", CATALOG)
+_add("publication_entries", "SELECT 2 * (row_number() OVER (ORDER BY pos) - 1) AS pos, title, link FROM publications UNION ALL SELECT 2 * row_number() OVER (ORDER BY pos) - 1, '', link FROM publications", CATALOG)
 _add("catalog_files", _PART_FILES)
+_add("all_catalog_files", _PART_FILES + """
+UNION ALL SELECT 'part-' || p_partkey, 4, 'fifth', 'y.txt' FROM part
+""")
 _add("missing_files", f"""
 SELECT f.*, path <> '' AND path NOT IN (SELECT 's/' || p_partkey || '.txt' FROM part WHERE p_size > 10) AS missing FROM ({_PART_FILES}) f
 """)
@@ -257,7 +260,7 @@ _add("vocabulary", "SELECT term, df, total FROM vocab", FULL)
 _add("idf", "SELECT term, round(idf, 6) AS idf FROM idf", FULL)
 _add("tfidf_weights", "SELECT ord, term, round(weight, 6) AS weight FROM doc_w", FULL)
 _add("query_weights", "SELECT query_id, term, round(weight, 6) AS weight FROM q_w", FULL)
-_add("index_roundtrip", HITS, FULL)
+_add("index_roundtrip", HITS, INDEX.replace(STOP, _list(ENGLISH[:40])).replace("{cap}", "500").strip())
 
 # Ranking
 
@@ -268,6 +271,7 @@ _add("blended_score", """
 SELECT query_id, ord, round(sim, 6) AS sim, round(overlap, 6) AS overlap, boost, round(score, 6) AS score FROM scored
 """, FULL)
 _add("search", HITS, FULL)
+_add("search_parsed_catalog", HITS, FULL)
 _add("rank_no_vocab", HITS, NO_VOCAB)
 _add("search_publications", """
 SELECT query_id, rank, title, link, round(score, 6) AS score, round(sim, 6) AS sim, round(overlap, 6) AS overlap FROM hits JOIN publications ON key = 'pub_' || pos
@@ -359,6 +363,11 @@ _LINEITEM = PROFILE.format(cells=_frame_cells("lineitem", COLUMNS["lineitem"])).
 _STATS = 'round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std, round("min", 4) AS "min", round("max", 4) AS "max"'
 _add("profile_numeric", f'SELECT col_pos, {_STATS} FROM stats WHERE "numeric"', _LINEITEM)
 _add("profile_top_values", 'SELECT col_pos, rank, value, round(num, 4) AS num, n AS "count", round(pct, 4) AS pct FROM tops', _LINEITEM)
+_add("profile_large_ids", """
+SELECT unnest([0, 1]::BIGINT[]) AS col_pos, CAST(rank AS BIGINT) AS rank, value, n AS "count", "unique" FROM (
+  SELECT CAST(id AS VARCHAR) AS value, n, row_number() OVER (ORDER BY n DESC, CAST(id AS DOUBLE), CAST(id AS VARCHAR)) AS rank, count(*) OVER () AS "unique"
+  FROM (SELECT event_id % 1000 + 9007199254740992 AS id, count(*) AS n FROM events GROUP BY 1)) WHERE rank <= 6
+""")
 _add("profile_empty", """
 SELECT CAST(quality AS VARCHAR) AS dataset, c AS "column", CASE WHEN count(v) = 0 THEN 'empty' END AS note, count(v) AS "count" FROM (
   SELECT quality, unnest(['toxic', 'good']) AS c, unnest([CAST(toxic AS VARCHAR), CASE WHEN quality = 1 THEN 'yes' END]) AS v FROM labels) GROUP BY quality, c
@@ -476,5 +485,10 @@ base AS (SELECT query_id, question, {_shown('lines')} AS shown, coalesce(papers,
 listed AS (SELECT *, list_concat(list_transform(papers, lambda p: p.link), urls) AS all_urls FROM base)
 SELECT query_id, CASE WHEN content IS NULL THEN {_summary('question', 'shown', 'papers', "CAST([] AS VARCHAR[])")} ELSE {_clean('content')} END AS answer,
   CASE WHEN content IS NULL THEN '' ELSE array_to_string({_distinct('all_urls')}, ' ') END AS recommended_urls,
-  used_datasets, used_publications, content IS NULL AS fallback, CASE WHEN content IS NOT NULL THEN 'batch' END AS model, usage, structured FROM listed
+  coalesce(used_datasets, '') AS used_datasets, coalesce(used_publications, '') AS used_publications, content IS NULL AS fallback, CASE WHEN content IS NOT NULL THEN 'batch' END AS model, usage, coalesce(structured, '') AS structured FROM listed
 """, CONTEXTS + "," + ANSWERS)
+_add("metadata_bundle", f"""
+SELECT query_id, fallback, CAST(usage AS BIGINT) AS usage, nullif(split_part(used_datasets, ':', 1), '') AS dataset, structured_first AS structured,
+  nullif(regexp_replace(split_part(used_publications, ' ', 1), ':[^:]*$', ''), '') AS publication, true AS same
+FROM (SELECT *, nullif(split_part(structured, ':', 1), '') AS structured_first FROM ({ORACLES["ask_batch"]}))
+""")

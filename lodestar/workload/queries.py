@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
+from lodestar.functions.stopwords import ENGLISH
 from lodestar.operators import answers as an
 from lodestar.operators import context as cx
 from lodestar.operators import corpus as co
@@ -21,7 +22,7 @@ from lodestar.operators.urls import first_occurrences, numbered
 from lodestar.plans import ask as plan
 from lodestar.plans.study import StudyTable, table_profiles
 from lodestar.session import fresh_path
-from lodestar.settings import HEAD_CHARS, IndexSettings
+from lodestar.settings import FILES_PER_DATASET, HEAD_CHARS, IndexSettings
 from lodestar.sources import catalog as ct
 from lodestar.sources.delimited import read_delimited as read_files
 from lodestar.sources.export import data_link, json_text
@@ -66,7 +67,7 @@ def _json_catalog(t: Tables) -> DataFrame:
         '"description": "%s"}}',
         "p_partkey", "p_brand", "p_type", "p_size", "p_partkey", "p_partkey", assays, "p_name",
     )
-    return ct.parse_catalog(t.read("part").select(json.alias("json")), "json")
+    return ct.parse_catalog(t.read("part").select("p_partkey", json.alias("json")), "json", ["p_partkey"])
 
 
 @query
@@ -83,19 +84,25 @@ def catalog_entries(t: Tables) -> DataFrame:
 def publication_entries(t: Tables) -> DataFrame:
     entry = F.to_json(F.array(F.struct(F.col("title").alias("Title"), F.col("link").alias("Link"))))
     only_link = F.to_json(F.array(F.struct(F.col("link").alias("Link"))))
-    texts = t.publications().select(F.explode(F.array(entry, only_link)).alias("json"))
-    return ct.parse_publications(texts, "json")
+    texts = t.publications().select("pos", F.posexplode(F.array(entry, only_link)).alias("part", "json"))
+    return ct.parse_publications(texts, "json", ["pos", "part"])
 
 
 @query
 def catalog_files(t: Tables) -> DataFrame:
+    """The first files of every dataset."""
+    return ct.catalog_files(_json_catalog(t), FILES_PER_DATASET)
+
+
+@query
+def all_catalog_files(t: Tables) -> DataFrame:
     return ct.catalog_files(_json_catalog(t))
 
 
 @query
 def missing_files(t: Tables) -> DataFrame:
     present = t.read("part").where(F.col("p_size") > 10).select(F.format_string("s/%d.txt", "p_partkey").alias("path"))
-    return ct.mark_missing(ct.catalog_files(_json_catalog(t)), present)
+    return ct.mark_missing(ct.catalog_files(_json_catalog(t), FILES_PER_DATASET), present)
 
 
 @query
@@ -307,9 +314,9 @@ def query_weights(t: Tables) -> DataFrame:
 
 @query
 def index_roundtrip(t: Tables) -> DataFrame:
-    """Hits found with an index that was written and read again."""
+    """Hits found with an index of few stop words and terms that was written and read again."""
     path = fresh_path(t.spark, "index")
-    ix.write_index(t.index(), path)
+    ix.write_index(t.index(IndexSettings(ENGLISH[:40], 500)), path)
     return _hits(rk.search(ix.read_index(t.spark, path), t.questions()))
 
 
@@ -345,6 +352,16 @@ def search(t: Tables) -> DataFrame:
     return _hits(rk.search(t.index(), t.questions()))
 
 
+@query
+def search_parsed_catalog(t: Tables) -> DataFrame:
+    """Hits in a catalogue that is spread over many JSON texts."""
+    fields = F.struct("organism", "assay_types", "folder", "description")
+    texts = t.catalog().select("pos", F.to_json(F.create_map("dataset", fields)).alias("json"))
+    papers = t.publications().select("pos", F.to_json(F.array(F.struct(F.col("title").alias("Title"), F.col("link").alias("Link")))).alias("json"))
+    catalog, publications = ct.parse_catalog(texts, "json", ["pos"]), ct.parse_publications(papers, "json", ["pos"])
+    return _hits(rk.search(ix.build_index(co.build_corpus(co.dataset_texts(catalog), publications)), t.questions()))
+
+
 @query
 def rank_no_vocab(t: Tables) -> DataFrame:
     return _hits(rk.search(t.index(IndexSettings(max_features=0)), t.questions()))
@@ -413,6 +430,21 @@ def profile_top_values(t: Tables) -> DataFrame:
     return shown(pr.top_values(_frequencies(t, "lineitem")).select("col_pos", "rank", "value", "num", "count", "pct"))
 
 
+@query
+def profile_large_ids(t: Tables) -> DataFrame:
+    """Counts and top values of ids that doubles can't tell apart, as numbers and as text."""
+    large = F.col("event_id") % 1000 + F.lit(1 << 53)
+    events = t.read("events").select(large.alias("id"), large.cast("string").alias("txt"))
+    typed = pr.ranged(pr.frequencies(pr.frame_cells(events.select("id")), ["col_pos"]), ["col_pos"])
+    cells = events.select(F.lit(1).cast("long").alias("col_pos"), F.col("txt").alias("value"))
+    text = pr.ranged(pr.text_frequencies(cells, ["col_pos"]), ["col_pos"])
+
+    def listed(f: pr.Frequencies) -> DataFrame:
+        return pr.top_values(f).join(pr.counts(f).select("col_pos", "unique"), "col_pos").select("col_pos", "rank", "value", "count", "unique")
+
+    return shown(listed(typed).unionByName(listed(text)))
+
+
 @query
 def profile_empty(t: Tables) -> DataFrame:
     """Labels of each quality, where one column has values in one group only."""
@@ -545,3 +577,24 @@ def ask_batch(t: Tables) -> DataFrame:
             structured.alias("structured"),
         )
     )
+
+
+@query
+def metadata_bundle(t: Tables) -> DataFrame:
+    """What the bundle of every answer says, read from its JSON, and whether the link holds the same."""
+    records = plan.ask(t.index(), t.questions(), t.catalog(), t.publications(), t.answers(), t.label_study)
+    bundles = plan.metadata_bundles(records)
+    held = F.decode(F.unbase64(F.substring_index("link", ",", -1)), "UTF-8")
+
+    def at(path: str) -> Column:
+        return F.get_json_object("bundle", path)
+
+    return bundles.select(
+        "query_id",
+        at("$.meta.fallback").cast("boolean").alias("fallback"),
+        at("$.meta.usage").cast("long").alias("usage"),
+        at("$.used_datasets[0].dataset").alias("dataset"),
+        at("$.used_publications[0].link").alias("publication"),
+        at("$.structured[0].dataset").alias("structured"),
+        (held == F.col("bundle")).alias("same"),
+    )

@@ -84,6 +84,6 @@ def test_ask(spark, tmp_path):
     assert "Related Research Publications:\n- " in second.answer and "- Gene paper\n  http://p.org/0\n" in second.answer
     assert "'NASA gene expression data dataset" in second.answer
     assert third.answer.startswith("Local fallback summary for: qqq\nNo local data available.\n\nSuggested")
-    assert third.used_datasets is None and third.recommended_urls == []
+    assert third.used_datasets == [] and third.recommended_urls == []
     reverse = ask(index, asked, catalog, pubs, answers, None, datasets_first=False)
     assert reverse.where(F.col("query_id") == 1).first().recommended_urls == ["http://a.org/z", "http://p.org/0", "http://d.org/1"]

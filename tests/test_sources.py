@@ -23,7 +23,8 @@ def test_catalog(spark, tmp_path):
     assert [(r.pos, r.dataset, r.organism) for r in rows] == [(0, "S-2", "mouse"), (1, "S-1", "yeast")]
     assert rows[0].assay_types == ["a", "b"] and rows[1].files is None
     files = ct.catalog_files(ct.load_catalog(spark, str(path))).orderBy("file_pos").collect()
-    assert [(f.name, f.path) for f in files] == [("one", "p/1.txt"), ("two", "p/2 x.txt"), ("none", ""), ("four", "p/4.txt")]
+    assert [(f.name, f.path) for f in files] == [("one", "p/1.txt"), ("two", "p/2 x.txt"), ("none", ""), ("four", "p/4.txt"), ("five", "p/5.txt")]
+    assert ct.catalog_files(ct.load_catalog(spark, str(path)), 2).count() == 2
 
 
 @pytest.mark.parametrize("content", [None, "", "[1, 2]", "{broken"])
