@@ -28,13 +28,13 @@ class Graph:
     candidates, the nearest, are looked at in a pruning.
     """
 
-    degree: int = 24
-    width: int = 40
-    considered: int = 64
-    build_beam: int = 40
-    search_beam: int = 64
+    degree: int = 36
+    width: int = 56
+    considered: int = 96
+    build_beam: int = 64
+    search_beam: int = 160
     alpha: float = 1.2
-    shard_rows: int = 40_000
+    shard_rows: int = 20_000
     block_rows: int = 4_096
     least_shards: int = 6
     step_rows: int = 512
