@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Every text is read once. Matches of the base patterns and all tokens with a digit or @ (possible identifiers, with the
-two words before them) become rows; their places are running sums of what lies between them. Tokens that are of a
-known form are seeds. The two words before a token are a pattern: patterns and token values make a graph. In each
-round a pattern's confidence is the share of its values that are believed, and a value is believed by what its patterns
+two words before them) become rows; their places are running sums of what lies between them. Valid base matches, also
+those of several words, and tokens of a known form are seeds. The two words before the word that a token is, or that a
+base match begins in, are its pattern: patterns and values make a graph, without tokens that are a part of a base match
+or around one. In each round a pattern's confidence is the share of its values that are believed, and a value is believed by what its patterns
 say together. Tokens of confident patterns are identifiers too, though no base pattern knows their form.
 """
 
@@ -32,6 +33,17 @@ PATTERNS = (
 )
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 _TOKEN_KIND, _NONE = len(KINDS), -1
+#: Kinds from here on, less this, are of base matches that seed the pattern in ``left``; they have no place.
+_SEED_KIND = 10
+
+# Marks around the valid matches of a copy of the text; the text's own ones are replaced.
+_OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\ufffd"
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]++"
+#: Nothing, at the first of two words before a word in which valid matches begin; the two words and the matches.
+_BEFORE_MATCH = (
+    rf"(?<!{_WORD})(?=({_WORD}++{_GAP}{_WORD}++){_GAP}"
+    rf"([^\x20\x09-\x0D\x01]*+(?=\x01)(?:\x01[^\x20\x09-\x0D\x02]*+\x02[^\x20\x09-\x0D\x01]*+)*+(?:\x01[^\x02]*+\x02)?+))"
+)
 
 #: Forms of a whole token that are seeds beside the base patterns: long keys of hexadecimal digits.
 _SECRET = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
@@ -59,13 +71,50 @@ def _entries(text: Column, kind: int, pattern: str) -> Column:
     )
 
 
+def _marked(text: Column, kind: int) -> Column:
+    """The text with marks around the valid matches of a base pattern; null if the pattern has no match."""
+    pattern = PATTERNS[kind]
+    shown = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
+    marked = F.zip_with(
+        F.split(shown, pattern, -1),
+        F.regexp_extract_all(shown, F.lit(pattern), F.lit(0)),
+        lambda gap, match: F.when(match.isNull(), gap)
+        .when(valid(F.lit(kind), match), F.concat(gap, F.lit(_OPEN), match, F.lit(_CLOSE)))
+        .otherwise(F.concat(gap, match)),
+    )
+    return F.array_join(F.when(text.rlike(pattern), marked), "")
+
+
+def _seeds(marked: Column, kind: int) -> Column:
+    """Marked matches with the two words before the word that each begins in, as entries without a place."""
+    marked = F.when(F.contains(marked, F.lit(_OPEN)), marked)
+    before, begun = (F.regexp_extract_all(marked, F.lit(_BEFORE_MATCH), F.lit(i)) for i in (1, 2))
+    given = F.zip_with(
+        before,
+        begun,
+        lambda left, words: F.transform(
+            F.regexp_extract_all(words, F.lit("\x01([^\x02]*+)\x02"), F.lit(1)),
+            lambda value: F.struct(value.alias("value"), F.translate(left, _OPEN + _CLOSE, "").alias("left")),
+        ),
+    )
+    return F.transform(
+        F.coalesce(F.flatten(given), F.array().cast("array<struct<value:string,left:string>>")),
+        lambda x, i: F.struct(F.lit(_SEED_KIND + kind).alias("kind"), i.alias("place"), F.lit(0).alias("gap"), x["value"].alias("value"), x["left"].alias("left")),
+    )
+
+
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, kind, start, end, value, left`` of all matches, and a row of kind -1 for every document."""
+    """``doc_id, text_hash, kind, start, end, value, left`` of all matches, and a row of kind -1 for every document.
+
+    Rows of ``_SEED_KIND`` and above are valid base matches once more, with the two words before them.
+    """
     text = F.col("text")
     none = F.array(F.struct(F.lit(_NONE).alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("left")))
     kinds = [*enumerate(PATTERNS), (_TOKEN_KIND, _TOKEN)]
-    rows = documents(docs, id_col, text_col).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *[_entries(text, k, p) for k, p in kinds])).alias("m")
+    texts = documents(docs, id_col, text_col).withColumns({f"marked_{k}": _marked(text, k) for k in range(len(PATTERNS))})
+    seeds = [_seeds(F.col(f"marked_{k}"), k) for k in range(len(PATTERNS))]
+    rows = texts.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *[_entries(text, k, p) for k, p in kinds], *seeds)).alias("m")
     )
     doc = ["doc_id", "text_hash", "kind"]
     # Repeated rows give the same matches, which count once.
@@ -97,6 +146,12 @@ def valid(kind: Column, value: Column) -> Column:
     )
 
 
+def _pattern(before: Column) -> Column:
+    """Two words lower-cased, each digit as 0; null for an empty text."""
+    pattern = F.regexp_replace(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")
+    return F.when(pattern != "", pattern)
+
+
 def tokens(found: DataFrame) -> DataFrame:
     """Possible identifiers without the marks around them: ``doc_id, text_hash, start, end, value, pattern, seed``.
 
@@ -106,9 +161,9 @@ def tokens(found: DataFrame) -> DataFrame:
     lead = F.length(F.regexp_extract(value, r"^[^A-Za-z0-9+]*", 0))
     core = F.regexp_extract(value, r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", 1)
     before = F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    pattern = F.regexp_replace(F.regexp_replace(F.lower(before), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " ")
+    pattern = _pattern(F.translate(before, _OPEN + _CLOSE, _OTHER * 2))
     rows = found.where(F.col("kind") == _TOKEN_KIND).select(
-        "doc_id", "text_hash", (F.col("start") + lead).alias("start"), core.alias("value"), F.when(pattern != "", pattern).alias("pattern")
+        "doc_id", "text_hash", (F.col("start") + lead).alias("start"), core.alias("value"), pattern.alias("pattern")
     )
     whole = [F.col("value").rlike(f"^(?:{p})$") & valid(F.lit(k), F.col("value")) for k, p in enumerate(PATTERNS)]
     seed = F.coalesce(*[F.when(is_kind, k) for k, is_kind in enumerate([*whole, F.col("value").rlike(_SECRET)])])
@@ -120,8 +175,27 @@ def tokens(found: DataFrame) -> DataFrame:
     )
 
 
+def free_tokens(base: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``candidates`` with ``free``: whether no base span reaches into the token from before or begins within it.
+
+    Others than seeds that are not free are left out: parts of a base span are no identifiers of their own.
+    """
+    doc = ["doc_id", "text_hash"]
+    spans = base.where(f"kind <> {_NONE}").select(*doc, "start", "end", "base")
+    both = spans.unionByName(candidates.withColumn("base", F.lit(False)), allowMissingColumns=True)
+    ahead = Window.partitionBy(*doc).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*doc).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(before)
+    next_base = F.min(F.when(F.col("base"), F.col("start"))).over(ahead)
+    free = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(next_base, F.col("end")) >= F.col("end"))
+    return both.withColumn("free", free).where(~F.col("base") & (F.col("free") | F.col("seed").isNotNull())).drop("base")
+
+
 def confident(found: DataFrame, how: Bootstrap) -> tuple[DataFrame, DataFrame]:
-    """``pattern, kind`` of confident patterns, and ``value, kind`` of values that such patterns make believed."""
+    """``pattern, kind`` of confident patterns, and ``value, kind`` of values that such patterns make believed.
+
+    ``found`` has ``pattern, value, seed``.
+    """
     edges = written(found.where("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.min("seed").alias("seed")), "edges")
     seeds = edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
     size = edges.groupBy("pattern").agg(F.count("*").alias("values"))
@@ -157,20 +231,14 @@ def personal_data(docs: DataFrame, how: Bootstrap = Bootstrap(), id_col: str = "
     base = found.where((F.col("kind") < _TOKEN_KIND) & ((F.col("kind") == _NONE) | valid(F.col("kind"), F.col("value")))).select(
         *doc, "kind", "start", "end", F.lit(True).alias("base")
     )
-    candidates = tokens(found)
-    patterns, values = confident(candidates, how)
-    by_pattern = candidates.join(patterns, "pattern").select(*doc, "kind", "start", "end")
-    by_value = candidates.join(values, "value").select(*doc, "kind", "start", "end")
+    candidates = written(free_tokens(base, tokens(found)), "tokens")
+    seeds = found.where(F.col("kind") >= _SEED_KIND).select(_pattern(F.col("left")).alias("pattern"), "value", (F.col("kind") - _SEED_KIND).alias("seed"))
+    patterns, values = confident(candidates.select("pattern", "value", "seed").union(seeds), how)
+    free = candidates.where("free")
+    by_pattern = free.join(patterns, "pattern").select(*doc, "kind", "start", "end")
+    by_value = free.join(values, "value").select(*doc, "kind", "start", "end")
     new = by_pattern.union(by_value).groupBy(*doc, "start", "end").agg(F.min("kind").alias("kind"))
-    # Places in order of start: a new span goes if a base one reaches into it from before, or begins within it.
-    both = base.where(f"kind <> {_NONE}").select(*doc, "kind", "start", "end", "base").unionByName(new.select(*doc, "kind", "start", "end", F.lit(False).alias("base")))
-    ahead = Window.partitionBy(*doc).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(*doc).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = F.max(F.when(F.col("base"), F.col("end"))).over(before)
-    next_base = F.min(F.when(F.col("base"), F.col("start"))).over(ahead)
-    free = (F.coalesce(reach, F.lit(-1)) <= F.col("start")) & (F.coalesce(next_base, F.col("end")) >= F.col("end"))
-    kept = both.withColumn("free", free).where(F.col("base") | F.col("free")).drop("free")
-    return kept.unionByName(base.where(f"kind = {_NONE}"))
+    return base.unionByName(new.withColumn("base", F.lit(False)))
 
 
 def personal_data_summary(docs: DataFrame, how: Bootstrap = Bootstrap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

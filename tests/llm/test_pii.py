@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.pii import masked, personal_data_summary
+from lodestar.llm.pii import masked, matches, personal_data_summary
 from tests.llm.cases import odd_rows, table
 
 PATTERNS = [
@@ -61,6 +61,27 @@ def test_contexts_of_seeds_find_other_identifiers(spark):
     assert texts[6] == "now access key <SECRET>! ends" and texts[7] == rows[7][1]
 
 
+def test_base_matches_of_several_words_are_seeds(spark):
+    seeds = [f"some words call home +1 (212) 555-01{i:02d} or so" for i in range(6)]
+    cards = [f"and bank card ({c}), paid" for c in ("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009")]
+    rows = list(enumerate([*seeds, *cards, "now call home x7q-4410-22 please", "by bank card zz81-77QK! ends", "other words 555-0101 and 4111"]))
+    got = {r.doc_id: r.spans for r in personal_data_summary(table(spark, rows)).collect()}
+    assert got[9] == "phone:14:25" and got[10] == "card:13:22" and got[11] == ""
+    assert got[0] == "phone:21:38" and got[6] == "card:15:34"
+    assert masked(table(spark, rows)).where("doc_id = 9").first().text == "now call home <PHONE> please"
+
+
+def test_seeds_that_begin_within_a_word_or_beside_marks(spark):
+    texts = [f"é my \x01 mail:u{i}@b.co,v{i}@b.co; tel +1 212 555 010{i},+1 212 555 020{i}" for i in range(2)]
+    found = matches(table(spark, list(enumerate(texts)))).where("kind >= 10")
+    got = {(r.doc_id, r.kind - 10, r.left, r.value) for r in found.collect()}
+    want = set()
+    for i in range(2):
+        want |= {(i, 0, "my \ufffd", f"{v}{i}@b.co") for v in "uv"}
+        want |= {(i, 3, f"mail:u{i}@b.co,v{i}@b.co; tel", f"+1 212 555 010{i}"), (i, 3, "212 555", f"+1 212 555 020{i}")}
+    assert got == want
+
+
 def test_masked_keeps_rows_and_columns(spark):
     docs = table(spark, [*odd_rows(), (20, "at a@b.co and 10.0.0.1 é")])
     out = masked(docs)
