@@ -32,6 +32,8 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Nothing, at the first of two words before a token; the two words.
+_BEFORE_TOKEN = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9@]*+[0-9@])"
 _TOKEN_KIND, _NONE = len(KINDS), -1
 #: Kinds from here on, less this, are of base matches that seed the pattern in ``left``; they have no place.
 _SEED_KIND = 10
@@ -58,16 +60,25 @@ class Bootstrap:
     confidence: float = 0.8
 
 
-def _entries(text: Column, kind: int, pattern: str) -> Column:
-    """Matches in order, each with the length and end of what lies between it and the one before."""
+def _entries(text: Column, kind: int, pattern: str, before: Column | None = None) -> Column:
+    """Matches in order, each with the length of what lies between it and the one before.
+
+    ``before`` has the two words before each token, but for those with fewer words before them, which are the first ones.
+    """
     zipped = F.zip_with(
         F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("value"), (F.right(gap, F.lit(48)) if kind == _TOKEN_KIND else F.lit("")).alias("left")),
+        lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("value")),
     )
     found = F.filter(zipped, lambda x: x["value"].isNotNull())
+    if before is None:
+        left = F.transform(found, lambda x: F.lit(""))
+    else:
+        fewer = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) - F.size(before)
+        left = F.concat(F.array_repeat(F.lit(""), fewer), before)
     return F.transform(
-        found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x["gap"].alias("gap"), x["value"].alias("value"), x["left"].alias("left"))
+        F.zip_with(found, left, lambda x, y: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), y.alias("left"))),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x["gap"].alias("gap"), x["value"].alias("value"), x["left"].alias("left")),
     )
 
 
@@ -110,11 +121,12 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.col("text")
     none = F.array(F.struct(F.lit(_NONE).alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("left")))
-    kinds = [*enumerate(PATTERNS), (_TOKEN_KIND, _TOKEN)]
+    entries = [*[_entries(text, k, p) for k, p in enumerate(PATTERNS)], _entries(text, _TOKEN_KIND, _TOKEN, F.col("before_token"))]
     texts = documents(docs, id_col, text_col).withColumns({f"marked_{k}": _marked(text, k) for k in range(len(PATTERNS))})
+    texts = texts.withColumn("before_token", F.regexp_extract_all("text", F.lit(_BEFORE_TOKEN), F.lit(1)))
     seeds = [_seeds(F.col(f"marked_{k}"), k) for k in range(len(PATTERNS))]
     rows = texts.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *[_entries(text, k, p) for k, p in kinds], *seeds)).alias("m")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *entries, *seeds)).alias("m")
     )
     doc = ["doc_id", "text_hash", "kind"]
     # Repeated rows give the same matches, which count once.
@@ -160,8 +172,7 @@ def tokens(found: DataFrame) -> DataFrame:
     value, left = F.col("value"), F.col("left")
     lead = F.length(F.regexp_extract(value, r"^[^A-Za-z0-9+]*", 0))
     core = F.regexp_extract(value, r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", 1)
-    before = F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    pattern = _pattern(F.translate(before, _OPEN + _CLOSE, _OTHER * 2))
+    pattern = _pattern(F.translate(left, _OPEN + _CLOSE, _OTHER * 2))
     rows = found.where(F.col("kind") == _TOKEN_KIND).select(
         "doc_id", "text_hash", (F.col("start") + lead).alias("start"), core.alias("value"), pattern.alias("pattern")
     )

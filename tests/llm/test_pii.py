@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.pii import masked, matches, personal_data_summary
+from lodestar.llm.pii import masked, matches, personal_data_summary, tokens
 from tests.llm.cases import odd_rows, table
 
 PATTERNS = [
@@ -82,6 +82,20 @@ def test_seeds_that_begin_within_a_word_or_beside_marks(spark):
     assert got == want
 
 
+def test_tokens_have_the_two_words_before_them_whatever_they_are(spark):
+    texts = ["ref 4421 key ab12cd34", "x1y2 z3z3", f"{'w' * 60}  Q77\n{'é' * 50} a1b2 c\x01 \x02d e5f6", "one two", "", "😀 b c 12345  "]
+    found = tokens(matches(table(spark, list(enumerate(texts)))))
+    got = {(r.doc_id, r.value, r.pattern) for r in found.collect()}
+    want = set()
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        for j, word in enumerate(words):
+            if re.search("[0-9@]", word) and len(word) >= 4:
+                before = " ".join(re.sub("[\x01\x02]", "\ufffd", re.sub("[0-9]", "0", w.lower())) for w in words[j - 2 : j]) if j >= 2 else None
+                want.add((i, word, before))
+    assert got == want and (0, "ab12cd34", "0000 key") in want
+
+
 def test_masked_keeps_rows_and_columns(spark):
     docs = table(spark, [*odd_rows(), (20, "at a@b.co and 10.0.0.1 é")])
     out = masked(docs)
