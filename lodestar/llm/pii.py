@@ -41,6 +41,8 @@ _SEED_KIND = 10
 # Marks around the valid matches of a copy of the text; the text's own ones are replaced.
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\ufffd"
 _WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]++"
+#: What every valid match has in it, which is found faster.
+_NEEDED = ("@", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){12}", r"\+[0-9]")
 #: Nothing, at the first of two words before a word in which valid matches begin; the two words and the matches.
 _BEFORE_MATCH = (
     rf"(?<!{_WORD})(?=({_WORD}++{_GAP}{_WORD}++){_GAP}"
@@ -83,7 +85,7 @@ def _entries(text: Column, kind: int, pattern: str, before: Column | None = None
 
 
 def _marked(text: Column, kind: int) -> Column:
-    """The text with marks around the valid matches of a base pattern; null if the pattern has no match."""
+    """The text with marks around the valid matches of a base pattern; null if it can have none."""
     pattern = PATTERNS[kind]
     shown = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
     marked = F.zip_with(
@@ -93,7 +95,7 @@ def _marked(text: Column, kind: int) -> Column:
         .when(valid(F.lit(kind), match), F.concat(gap, F.lit(_OPEN), match, F.lit(_CLOSE)))
         .otherwise(F.concat(gap, match)),
     )
-    return F.array_join(F.when(text.rlike(pattern), marked), "")
+    return F.array_join(F.when(text.rlike(_NEEDED[kind]), marked), "")
 
 
 def _seeds(marked: Column, kind: int) -> Column:
@@ -123,7 +125,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none = F.array(F.struct(F.lit(_NONE).alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("left")))
     entries = [*[_entries(text, k, p) for k, p in enumerate(PATTERNS)], _entries(text, _TOKEN_KIND, _TOKEN, F.col("before_token"))]
     texts = documents(docs, id_col, text_col).withColumns({f"marked_{k}": _marked(text, k) for k in range(len(PATTERNS))})
-    texts = texts.withColumn("before_token", F.regexp_extract_all("text", F.lit(_BEFORE_TOKEN), F.lit(1)))
+    texts = texts.withColumn("before_token", F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(_BEFORE_TOKEN), F.lit(1))).otherwise(F.array().cast("array<string>")))
     seeds = [_seeds(F.col(f"marked_{k}"), k) for k in range(len(PATTERNS))]
     rows = texts.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *entries, *seeds)).alias("m")
