@@ -156,3 +156,19 @@ SELECT
     x.ends_sha256
 FROM nodes x
 """
+
+
+@query
+def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded text of every whole document; the digests are taken from them in Spark."""
+    from pyspark.sql import functions as F
+
+    from lodestar.llm.word_bpe import round_trip
+
+    ids = round_trip(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
