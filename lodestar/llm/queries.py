@@ -172,3 +172,10 @@ def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from lodestar.llm.manifest import manifest
+
+    return manifest(table(spark, folder, "documents"))
