@@ -20,16 +20,23 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-# Words cached per executor; the cache is emptied when it holds more than this many.
+# Words cached per executor (some 20 MB); when it is full, the older half goes.
 CACHED_WORDS = 100_000
+# Bytes of text encoded at once in a task: a bound on the ids held as Python objects.
+SLICE_BYTES = 2 << 20
 
 
 def _byte_chars() -> list[str]:
@@ -62,54 +69,66 @@ class WordBpe:
         self.normalisers = _normalisers(spec.get("normalizer"))
         self.words = _words(spec.get("pre_tokenizer"))
         self.byte_chars = _byte_chars()
+        self.inner_ids = [self.vocab.get(c, -1) for c in self.byte_chars]
+        self.last_ids = [self.vocab.get(c + self.suffix, -1) for c in self.byte_chars]
+        if len(self.tokens) and max(self.tokens) >= 1 << 16:
+            raise ValueError("pairs of ids are keyed in 32 bits")
+        self.pair_ranks = {(a << 16) | b: found for (a, b), found in self.ranks.items()}
+        self.token_list = [self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)]
         self.cache: dict[str, list[int]] = {}
 
     def _merged(self, word: str) -> list[int]:
-        """Ids of one word: symbols merged by rank through a heap of pairs over a linked list."""
-        chars = [self.byte_chars[b] for b in word.encode("utf-8")]
-        symbols = []
-        for at, char in enumerate(chars):
-            token = char + self.suffix if at == len(chars) - 1 else char
-            if token in self.vocab:
-                symbols.append(self.vocab[token])
+        """Ids of one word: symbols merged by rank through a heap of pairs over a linked list.
+
+        A heap entry is (rank, place, pair, merged id); it is stale when the symbols at the place and after it are no
+        longer that pair, which also holds for a place merged away (its symbol is -1).
+        """
+        data = word.encode("utf-8")
+        symbols = [self.inner_ids[b] for b in data[:-1]]
+        symbols.append(self.last_ids[data[-1]])
+        if -1 in symbols:
+            symbols = [i for i in symbols if i >= 0]
         n = len(symbols)
         if n < 2:
             return symbols
+        ranks = self.pair_ranks
         prev = list(range(-1, n - 1))
         nxt = [*range(1, n), -1]
-        alive = [True] * n
         heap = []
         for at in range(n - 1):
-            found = self.ranks.get((symbols[at], symbols[at + 1]))
-            if found:
-                heap.append((found[0], at, symbols[at], symbols[at + 1]))
+            pair = symbols[at] << 16 | symbols[at + 1]
+            found = ranks.get(pair)
+            if found is not None:
+                heap.append((found[0], at, pair, found[1]))
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, at, left, right = heapq.heappop(heap)
+            _, at, pair, new = pop(heap)
             after = nxt[at]
-            if not alive[at] or after < 0 or symbols[at] != left or symbols[after] != right:
+            if after < 0 or symbols[at] < 0 or (symbols[at] << 16 | symbols[after]) != pair:
                 continue  # stale: one side was merged away or changed since this entry was made
-            symbols[at] = self.ranks[(left, right)][1]
-            alive[after] = False
-            nxt[at] = nxt[after]
-            if nxt[at] >= 0:
-                prev[nxt[at]] = at
-            for a, b in ((prev[at], at), (at, nxt[at])):
-                if a >= 0 and b >= 0:
-                    found = self.ranks.get((symbols[a], symbols[b]))
-                    if found:
-                        heapq.heappush(heap, (found[0], a, symbols[a], symbols[b]))
-        out, at = [], 0
-        while at >= 0:
-            out.append(symbols[at])
-            at = nxt[at]
-        return out
+            symbols[at], symbols[after] = new, -1
+            beyond = nxt[at] = nxt[after]
+            if beyond >= 0:
+                prev[beyond] = at
+                pair = new << 16 | symbols[beyond]
+                found = ranks.get(pair)
+                if found is not None:
+                    push(heap, (found[0], at, pair, found[1]))
+            before = prev[at]
+            if before >= 0:
+                pair = symbols[before] << 16 | new
+                found = ranks.get(pair)
+                if found is not None:
+                    push(heap, (found[0], before, pair, found[1]))
+        return [i for i in symbols if i >= 0]
 
     def _word(self, word: str) -> list[int]:
         ids = self.cache.get(word)
         if ids is None:
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
+            if len(self.cache) >= CACHED_WORDS:
+                for old in list(islice(self.cache, CACHED_WORDS // 2)):
+                    del self.cache[old]  # the older half goes; words seen since stay
             ids = self.cache[word] = self._merged(word)
         return ids
 
@@ -126,8 +145,10 @@ class WordBpe:
                 part = text[begin:end]
                 for normalise in self.normalisers:
                     part = normalise(part)
+                cache = self.cache
                 for word in self.words(part):
-                    out.extend(self._word(word))
+                    ids = cache.get(word)
+                    out += self._word(word) if ids is None else ids
             if found:
                 out.append(self.added[found.group()])
                 begin = found.end()
@@ -135,7 +156,11 @@ class WordBpe:
 
     def decode(self, ids: list[int] | None) -> str:
         """Vocabulary strings of the ids, joined by one space; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in (ids or []) if i in self.tokens)
+        listed = self.token_list
+        try:
+            return " ".join([listed[i] for i in ids or ()])
+        except (IndexError, TypeError):
+            return " ".join(self.tokens[i] for i in ids or () if i in self.tokens)
 
 
 def _lower(text: str) -> str:
@@ -151,14 +176,14 @@ def _normalisers(spec: dict | None) -> list:
         return [step for part in spec["normalizers"] for step in _normalisers(part)]
     if spec["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
         form = spec["type"]
-        return [lambda s: unicodedata.normalize(form, s)]
+        return [lambda s: s if s.isascii() else unicodedata.normalize(form, s)]
     if spec["type"] == "Lowercase":
         return [_lower]
     if spec["type"] == "Replace":
         pattern = spec["pattern"]
         found = regex.compile(pattern["Regex"]) if "Regex" in pattern else regex.compile(regex.escape(pattern["String"]))
-        content = spec["content"]
-        return [lambda s: found.sub(lambda _: content, s)]
+        content = spec["content"].replace("\\", "\\\\")
+        return [lambda s: found.sub(content, s)]
     raise ValueError(f"normaliser {spec['type']} is not supported")
 
 
@@ -207,12 +232,31 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``ids`` and ``decoded`` of every document; null texts are empty. Each text is encoded once."""
+    """``doc_id``, ``ids`` and ``decoded`` of every document; null texts are empty. Each text is encoded once.
 
-    @pandas_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        bpe = model(path)
-        ids = [bpe.encode(t) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+    Ids go to Arrow as one flat array with offsets per batch, not as Python lists.
+    """
 
-    return documents.select("doc_id", both(F.col("text")).alias("_bpe")).select("doc_id", "_bpe.ids", "_bpe.decoded")
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = model(path)
+        for batch in parts:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            # Slices of about SLICE_BYTES of text, so that a worker holds few ids as Python lists at once.
+            cuts = np.searchsorted(np.cumsum(sizes), np.arange(SLICE_BYTES, int(sizes.sum()) + SLICE_BYTES, SLICE_BYTES), "right")
+            begin = 0
+            for end in [*np.unique(np.minimum(cuts + 1, batch.num_rows)), batch.num_rows]:
+                if end <= begin:
+                    continue
+                part = batch.slice(begin, end - begin)
+                begin = end
+                ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=offsets[1:])
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                decoded = pa.array([bpe.decode(i) for i in ids], pa.string())
+                del ids
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), listed, decoded], ["doc_id", "ids", "decoded"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
