@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import number_tokens, substrings, word_tokens
 from lodestar.operators.corpus import entry_type_of
 from lodestar.operators.index import SearchIndex, feature_bucket, terms, weights
-from lodestar.session import broadcast_within
+from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, CANDIDATE_PUBLICATIONS, CANDIDATE_TITLE_CHARS, SCORE_DIGITS, RankSettings
 
 # Parts a feature is split into where questions are too many to be broadcast.
 SALTS = 32
+# Entries of a block whose largest weights bound the scores of its entries.
+BLOCK_ENTRIES = 16
+# Features in at most this many entries give the first, lower bounds of the best scores.
+RARE_POSTINGS = 1_000
+# Scores are compared rounded; a block is kept if its bound reaches the bar less this.
+BOUND_SLACK = 1e-8
 
 
 @dataclass(frozen=True)
@@ -159,6 +165,138 @@ def score_pairs(
     return sums.select("query_id", "ord", "sim", "overlap", "boost", blended.alias("score"))
 
 
+def _blocked(df: DataFrame) -> DataFrame:
+    return df.withColumn("entry_type", entry_type_of(F.col("ord"))).withColumn("block", F.floor(F.col("ord") / BLOCK_ENTRIES))
+
+
+def block_bounds(index: SearchIndex) -> tuple[DataFrame, DataFrame]:
+    """Per block of entries: the largest weight of each term ``(term, entry_type, block, top)`` and the words it holds
+    ``(word, entry_type, block)``. Both are the index's own tables folded by block, so they grow with the entries."""
+    tops = _blocked(index.terms).groupBy("term", "entry_type", "block").agg(F.max("weight").alias("top"))
+    held = _blocked(index.words).select("word", "entry_type", "block").distinct()
+    return tops, held
+
+
+def block_sizes(index: SearchIndex) -> DataFrame:
+    """The most distinct words of an entry ``(entry_type, block, most)`` in every block."""
+    counts = index.words.groupBy("ord").agg(F.count("*").alias("n"))
+    return _blocked(counts).groupBy("entry_type", "block").agg(F.max("n").alias("most"))
+
+
+def _asked(table: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(table) if small else table
+
+
+def bounded_pairs(
+    index: SearchIndex,
+    questions: DataFrame,
+    settings: RankSettings = RankSettings(),
+    shape: QuestionShape | None = None,
+) -> DataFrame:
+    """Scored pairs ``(query_id, ord, sim, overlap, boost, score)`` of every entry that can be among a question's best.
+
+    Every part of a score is a sum of non-negative parts, so scores from rare features only (terms and words in at
+    most ``RARE_POSTINGS`` entries, and the numbers found) are lower bounds; their k-th best per question and entry
+    type, or the threshold if higher, is a bar that the k-th true score reaches. A block of ``BLOCK_ENTRIES`` entries
+    is bounded above by the question's weights times the block's largest term weights, its words found in the block,
+    and its best number boost there. Only blocks whose bound reaches the bar are scored exactly, joined by (feature,
+    block), so a word in every entry is split over all blocks. The pairs left out cannot be among the best: ``search``
+    gives the same hits as with all pairs.
+    """
+    shape = shape or measure(questions, index)
+    small = shape.rows <= settings.broadcast_rows
+    asked_terms = query_weights(questions, index).withColumnRenamed("weight", "asked") if index.settings.max_features != 0 else None
+    asked_words = query_words(questions)
+    entry_terms = _blocked(index.terms)
+    entry_words = _blocked(index.words)
+    boosts = (
+        found_numbers(index, questions, shape, small).groupBy("query_id", "ord").agg((F.count("*") * settings.number_boost).alias("boost"))
+        if shape.number_lengths
+        else questions.sparkSession.createDataFrame([], "query_id long, ord long, boost double")
+    )
+    boosts = written(_blocked(boosts), "boosts")
+
+    def parts(terms: DataFrame | None, words: DataFrame) -> DataFrame:
+        """Rows ``(query_id, ord, entry_type, block, sim, word)`` of shared terms and words."""
+        out = words.select("query_id", "ord", "entry_type", "block", F.lit(0.0).alias("sim"), F.lit(1).alias("word"), "words")
+        if terms is not None:
+            sims = terms.select("query_id", "ord", "entry_type", "block", (F.col("weight") * F.col("asked")).alias("sim"), F.lit(0).alias("word"), F.lit(0).alias("words"))
+            out = out.unionByName(sims)
+        return out
+
+    def scored(shared: DataFrame) -> DataFrame:
+        sums = shared.groupBy("query_id", "ord", "entry_type", "block").agg(
+            F.sum("sim").alias("sim"), F.sum("word").alias("shared"), F.max("words").alias("words")
+        )
+        with_boost = sums.join(boosts, ["query_id", "ord", "entry_type", "block"], "full").na.fill(0, ["sim", "shared", "boost"])
+        # ``words`` is the question's count wherever a word is shared; elsewhere the overlap is 0 anyway.
+        overlap = F.col("shared") / (F.coalesce(F.col("words"), F.lit(0)) + 1)
+        return with_boost.select(
+            "query_id", "ord", "entry_type", "block", "sim", overlap.alias("overlap"), "boost",
+            (settings.similarity_weight * F.col("sim") + settings.overlap_weight * overlap + F.col("boost")).alias("score"),
+        )
+
+    # Lower bounds from rare features.
+    word_df = index.words.groupBy("word").agg(F.count("*").alias("df"))
+    rare_words = asked_words.join(word_df.where(F.col("df") <= RARE_POSTINGS), "word").drop("df")
+    rare_terms = None
+    if asked_terms is not None:
+        rare_terms = asked_terms.join(index.vocabulary.where(F.col("df") <= RARE_POSTINGS).select("term"), "term")
+        rare_terms = entry_terms.join(_asked(rare_terms, small), "term")
+    partial = scored(parts(rare_terms, entry_words.join(_asked(rare_words, small), "word")))
+    limit = F.when(F.col("entry_type") == "dataset", settings.top_datasets).otherwise(settings.top_publications)
+    place = F.row_number().over(Window.partitionBy("query_id", "entry_type").orderBy(F.desc("score")))
+    bars = written(
+        partial.withColumn("place", place)
+        .where(F.col("place") == limit)
+        .select("query_id", "entry_type", F.greatest(F.col("score"), F.lit(settings.threshold)).alias("bar")),
+        "bars",
+    )
+
+    # Upper bounds of blocks.
+    tops, held = block_bounds(index)
+    bound_parts = held.join(_asked(asked_words, small), "word").select(
+        "query_id", "entry_type", "block", F.lit(0.0).alias("sim"), F.lit(0.0).alias("square"), F.lit(1).alias("word"), "words"
+    )
+    if asked_terms is not None:
+        bound_parts = bound_parts.unionByName(
+            tops.join(_asked(asked_terms, small), "term").select(
+                "query_id", "entry_type", "block", (F.col("top") * F.col("asked")).alias("sim"),
+                (F.col("asked") * F.col("asked")).alias("square"), F.lit(0).alias("word"), F.lit(0).alias("words"),
+            )
+        )
+    best_boost = boosts.groupBy("query_id", "entry_type", "block").agg(F.max("boost").alias("boost"))
+    bounds = (
+        bound_parts.groupBy("query_id", "entry_type", "block")
+        .agg(F.sum("sim").alias("sim"), F.sum("square").alias("square"), F.sum("word").alias("shared"), F.max("words").alias("words"))
+        .join(best_boost, ["query_id", "entry_type", "block"], "full")
+        .join(block_sizes(index), ["entry_type", "block"], "left")
+        .na.fill(0, ["sim", "square", "shared", "boost", "most"])
+    )
+    # An entry's weights have norm 1, so its similarity is at most the norm of the question's weights it can share;
+    # it shares at most as many words as it has.
+    words = F.coalesce(F.col("words"), F.lit(0))
+    sim = F.least(F.col("sim"), F.sqrt("square"))
+    shared = F.least(F.col("shared"), F.col("most"))
+    upper = settings.similarity_weight * sim + settings.overlap_weight * shared / (words + 1) + F.col("boost")
+    open_blocks = written(
+        bounds.select("query_id", "entry_type", "block", upper.alias("upper"))
+        .join(bars, ["query_id", "entry_type"], "left")
+        .where(F.col("upper") >= F.coalesce("bar", F.lit(settings.threshold)) - BOUND_SLACK)
+        .select("query_id", "entry_type", "block"),
+        "open_blocks",
+    )
+
+    # Exact scores of the open blocks, joined by feature and block.
+    keys = ["query_id", "entry_type", "block"]
+    exact_words = asked_words.join(open_blocks, "query_id").join(entry_words, ["word", "entry_type", "block"])
+    exact_terms = None
+    if asked_terms is not None:
+        exact_terms = asked_terms.join(open_blocks, "query_id").join(entry_terms, ["term", "entry_type", "block"])
+    kept = scored(parts(exact_terms, exact_words)).join(open_blocks, keys, "left_semi")
+    return kept.select("query_id", "ord", "sim", "overlap", "boost", "score")
+
+
 def top_pairs(pairs: DataFrame, settings: RankSettings = RankSettings()) -> DataFrame:
     """Best pairs per question and entry type, with their rank from 1; ties in entry order."""
     limit = F.when(F.col("entry_type") == "dataset", settings.top_datasets).otherwise(settings.top_publications)
@@ -179,7 +317,7 @@ def search(index: SearchIndex, questions: DataFrame, settings: RankSettings = Ra
     Hits are few per question, so they are what is sent to the entries to find their keys.
     """
     shape = measure(questions, index)
-    best = top_pairs(score_pairs(index, questions, settings, shape), settings)
+    best = top_pairs(bounded_pairs(index, questions, settings, shape), settings)
     most = shape.questions * (settings.top_datasets + settings.top_publications)
     return (
         index.entries.select("ord", "key")

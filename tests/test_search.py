@@ -101,3 +101,25 @@ def test_scoring_does_not_shuffle_pairs(spark):
     top = plan[: plan.index("BroadcastHashJoin")]
     assert "Exchange" not in top and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
     assert "NestedLoop" not in plan
+
+
+def test_bounded_pairs_give_the_hits_of_all_pairs(spark, monkeypatch):
+    """Pruned blocks hold no hit: with every posting rare, or none, and with ties, the hits are those of all pairs."""
+    import random
+
+    pick = random.Random(3)
+    vocab = [f"w{i}" for i in range(60)] + ["the", "of", "12", "7"]
+    texts = [" ".join(pick.choice(vocab) for _ in range(pick.randrange(0, 40))) for _ in range(300)]
+    texts += [texts[5]] * 12 + ["w1 w2 w3 12"] * 3
+    papers = [" ".join(pick.choice(vocab) for _ in range(pick.randrange(1, 6))) for _ in range(80)]
+    index = ix.build_index(corpus_of(spark, texts, papers), IndexSettings(STOP, 40))
+    questions = asked(spark, texts[5], "w1 w2 w3 12", "the of", "", "w59 7 7", papers[3])
+
+    def hits(pairs):
+        return sorted((r.query_id, r.ord, r["rank"], round(r.score, 9)) for r in rk.top_pairs(pairs).collect())
+
+    want = hits(rk.score_pairs(index, questions))
+    for rare in (0, 5, 10_000):
+        monkeypatch.setattr(rk, "RARE_POSTINGS", rare)
+        assert hits(rk.bounded_pairs(index, questions)) == want
+    assert len(want) > 20
