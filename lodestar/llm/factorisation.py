@@ -26,7 +26,9 @@ class Machine:
     bits: int = 14
     factors: int = 8
     max_rows: int = 8_192
-    passes: int = 6
+    # Passes go on until the log loss over the sample falls by less than ``tolerance`` of itself, or ``passes`` end.
+    passes: int = 200
+    tolerance: float = 1e-4
     batch: int = 64
     rate: float = 0.1
     l2: float = 1e-5
@@ -116,7 +118,16 @@ def fit(texts: list[str], labels: list[int], how: Machine) -> tuple[np.ndarray,
     for rows, index, values in parts:
         cuts = np.flatnonzero(np.diff(rows)) + 1
         by_text += zip(np.split(index, cuts), np.split(values, cuts), strict=True)
-    for _ in range(how.passes):
+    every = np.arange(len(target))
+
+    def loss() -> float:
+        index, values = (np.concatenate([by_text[i][k] for i in every]) for k in (0, 1))
+        rows = np.repeat(every, [len(by_text[i][0]) for i in every])
+        raw, _ = raw_scores(rows, index, values, len(every), w, v)
+        return float(np.mean(np.logaddexp(0, raw) - target * raw))
+
+    last = loss() if len(target) else 0.0
+    for _ in range(how.passes if len(target) else 0):
         for at in np.array_split(random.permutation(len(target)), max(1, len(target) // how.batch)):
             index, values = (np.concatenate([by_text[i][k] for i in at]) for k in (0, 1))
             rows = np.repeat(np.arange(len(at)), [len(by_text[i][0]) for i in at])
@@ -133,6 +144,10 @@ def fit(texts: list[str], labels: list[int], how: Machine) -> tuple[np.ndarray,
             v[used] -= how.rate * slope_v / np.sqrt(seen_v[used])
             seen_w[-1] += error.sum() ** 2
             w[-1] -= how.rate * error.sum() / np.sqrt(seen_w[-1])
+        now = loss()
+        if last - now < how.tolerance * last:
+            break
+        last = now
     return w, v
 
 
