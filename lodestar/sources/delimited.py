@@ -11,6 +11,7 @@ from lodestar.functions.text import head, null_missing
 from lodestar.session import broadcast_within, ordered_join, written
 from lodestar.settings import BROADCAST_ROWS, HEAD_CHARS, PREVIEW_ROWS
 from lodestar.sources.catalog import local_path
+from lodestar.sources.quoted import quoted_records
 
 CELLS_SCHEMA = "path STRING, row_pos BIGINT, col_pos BIGINT, column STRING, value STRING"
 HEADERS_SCHEMA = "path STRING, separator STRING, names ARRAY<STRING>"
@@ -72,13 +73,14 @@ def read_delimited(
 ) -> DataFrame:
     """Cells ``(path, row_pos, col_pos, column, value)`` of all delimited files below the paths.
 
-    Every cell is text, NULL where missing. All files with the same separator are one scan whose
-    schema is as wide as the widest header; names are joined on by position, so many headers do
-    not make a long plan. ``row_pos`` rises with the order of the rows in a file; it counts from
-    0 only if ``analysis_rows`` is given, which keeps that many rows of each file. Files without
-    quoted line breaks should be read with ``multi_line=False``: then large files are split over
-    tasks. A file whose first data row is wider than its header is text and gives no cell.
+    Every cell is text, NULL where missing. ``row_pos`` rises with the order of the rows in a file; it counts from
+    0 only if ``analysis_rows`` is given, which keeps that many rows of each file. By default quoted fields may hold
+    line breaks, and every file is still read in many tasks (``sources.quoted``), in one scan below the root and
+    without a list of paths. With ``multi_line=False`` every line is a row and Spark's CSV reader takes the files of
+    each separator. A file whose first data row is wider than its header is text and gives no cell.
     """
+    if multi_line:
+        return _quoted_cells(spark, paths, analysis_rows)
     headers = written(file_headers(spark, paths), "headers")
     # The driver's file index holds every path anyway, so their list is no larger burden.
     tables = headers.where(F.col("separator").isNotNull())
@@ -92,6 +94,58 @@ def read_delimited(
     return result
 
 
+def _quoted_cells(spark: SparkSession, paths: Sequence[str] | str, analysis_rows: int | None) -> DataFrame:
+    """Cells of records that quoted line breaks may span; the first record of a file is its header."""
+    records = written(quoted_records(spark, paths).where(F.col("record") != ""), "records")
+    firsts = records.groupBy("uri").agg(F.min_by("record", "seq").alias("header"), F.min("seq").alias("header_seq"))
+    line = F.regexp_replace("header", "^\ufeff", "")
+    separator = F.when(F.contains(line, F.lit("\t")), F.lit("\t")).when(F.contains(line, F.lit(",")), F.lit(","))
+    headers = written(
+        firsts.withColumn("separator", separator)
+        .where(F.col("separator").isNotNull())
+        .select("uri", "header_seq", "separator", _mangled(_header_fields(line, F.col("separator"))).alias("names")),
+        "headers",
+    )
+    widest = headers.agg(F.max(F.size("names"))).first()[0]
+    if widest is None:
+        return spark.createDataFrame([], CELLS_SCHEMA)
+    fields = [f"c{i}" for i in range(widest + 1)]
+    schema = ", ".join(f"{name} STRING" for name in fields)
+
+    def parsed(sep: str):
+        return F.from_csv("record", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+
+    cells = F.when(F.col("separator") == "\t", parsed("\t")).otherwise(parsed(","))
+    n_files = headers.count()
+    rows = written(
+        records.join(broadcast_within(headers, n_files, BROADCAST_ROWS), "uri")
+        .where(F.col("seq") > F.col("header_seq"))
+        .select("uri", "seq", "names", cells.alias("parsed"))
+        .select("uri", "seq", "names", F.array(*[F.col("parsed")[f] for f in fields]).alias("cells")),
+        "rows",
+    )
+    first = rows.groupBy("uri").agg(F.min_by("cells", "seq").alias("first"), F.first("names").alias("names"))
+    wider = F.exists(F.slice("first", F.size("names") + 1, len(fields)), lambda cell: cell.isNotNull())
+    usable = first.where(~wider).select("uri")
+    if analysis_rows is not None:
+        order = Window.partitionBy("uri").orderBy("seq")
+        rows = rows.withColumn("row_pos", F.row_number().over(order) - 1).where(F.col("row_pos") < analysis_rows)
+    else:
+        rows = rows.withColumn("row_pos", F.col("seq"))
+    return (
+        rows.join(broadcast_within(usable, n_files, BROADCAST_ROWS), "uri", "left_semi")
+        .select(local_path(F.col("uri")).alias("path"), F.col("row_pos").cast("long").alias("row_pos"), "names", F.posexplode("cells").alias("col_pos", "cell"))
+        .where(F.col("col_pos") < F.size("names"))
+        .select(
+            "path",
+            "row_pos",
+            F.col("col_pos").cast("long").alias("col_pos"),
+            F.get("names", F.col("col_pos")).alias("column"),
+            null_missing(F.col("cell")).alias("value"),
+        )
+    )
+
+
 def _cells(spark: SparkSession, tables: DataFrame, group, analysis_rows: int | None, multi_line: bool) -> DataFrame:
     fields = [f"c{i}" for i in range(group.width + 1)]
     rows = (

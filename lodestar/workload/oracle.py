@@ -143,6 +143,15 @@ SELECT "column", value, count(*) AS n FROM (
     unnest([CAST(event_id AS VARCHAR), CAST(ts AS VARCHAR), CAST(user_id AS VARCHAR), event_type, CAST(value AS VARCHAR), props]) AS value
   FROM events) GROUP BY ALL
 """)
+_add("read_quoted_delimited", f"""
+SELECT "column", count(*) AS n, count(value) AS filled, count(DISTINCT value) AS distinct_values,
+  sum(length(value)) AS chars, min(value) AS first_value, max(value) AS last_value
+FROM (
+  SELECT "column", CASE WHEN raw IN ({", ".join("'" + t.replace("'", "''") + "'" for t in MISSING_TOKENS)}) THEN NULL ELSE raw END AS value
+  FROM (SELECT unnest(['doc_id', 'text', 'text.1', 'lang']) AS "column", unnest([CAST(doc_id AS VARCHAR), text, text, lang]) AS raw
+        FROM documents))
+GROUP BY "column"
+""")
 _add("preview_rows", """
 SELECT event_type, row_number() OVER w - 1 AS row_pos, event_id, user_id, value FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY event_id) QUALIFY row_number() OVER w <= 5
@@ -298,12 +307,12 @@ COLUMNS = {
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     ],
-    "pages": ["page_id", "url"],
+    "pages": ["page_id", "url", "html"],
     "labels": ["doc_id", "quality", "toxic"],
 }
 TEXT_COLUMNS = {
     "c_name", "c_mktsegment", "o_orderstatus", "o_orderdate", "o_orderpriority", "ts", "event_type", "props",
-    "p_name", "p_brand", "p_type", "l_returnflag", "l_linestatus", "l_shipdate", "url",
+    "p_name", "p_brand", "p_type", "l_returnflag", "l_linestatus", "l_shipdate", "url", "html",
 }
 _ODD = {
     "flag": "c_custkey % 2 = 1",
@@ -465,7 +474,8 @@ SELECT query_id, {_text(an.INSTRUCTIONS)} || chr(10) || chr(10) || 'CONTEXT:' ||
 ANSWERS = f"""
 answers AS (SELECT query_id, content, {_urls('content')} AS urls, usage FROM (
   SELECT item_id AS query_id, t || chr(10) || 'As an AI language model I may err. See ' || url || '.' AS content, length(t) AS usage
-  FROM benchmark JOIN (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 GROUP BY conv_id) ON conv_id = item_id
+  FROM benchmark JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn NULLS FIRST, text) AS t FROM conversations
+    WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id) ON conv_id = item_id
   JOIN pages ON page_id = item_id))
 """
 _add("recommended_urls", f"""

@@ -115,6 +115,31 @@ def read_delimited(t: Tables) -> DataFrame:
     return shown(cells.groupBy("column", "value").agg(F.count("*").alias("n")))
 
 
+@query
+def read_quoted_delimited(t: Tables) -> DataFrame:
+    """Documents written as CSV files with quoted line breaks, commas, quotes and the header ``text`` twice, read back
+    by the default (splittable) reader; per column its rows, filled cells, distinct values, characters and extremes."""
+    path = fresh_path(t.spark, "documents-csv")
+    docs = t.read("documents")
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    options = {"quote": '"', "escape": '"', "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    fields = F.struct(F.col("doc_id").cast("string").alias("a"), F.col("text").alias("b"), F.col("text").alias("c"), F.col("lang").alias("d"))
+    lines = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), F.lit(1).alias("kind"), F.to_csv(fields, options).alias("value"))
+    # Every file begins with its header: one header row per part, which goes first in the part's only task.
+    headers = t.spark.range(parts).select(F.col("id").alias("part"), F.lit(0).alias("kind"), F.lit("doc_id,text,text,lang").alias("value"))
+    table = lines.unionByName(headers).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    table.drop("kind").write.partitionBy("part").text(path)
+    cells = read_files(t.spark, path)
+    return cells.groupBy("column").agg(
+        F.count("*").alias("n"),
+        F.count("value").alias("filled"),
+        F.count_distinct("value").alias("distinct_values"),
+        F.sum(F.length("value")).alias("chars"),
+        F.min("value").alias("first_value"),
+        F.max("value").alias("last_value"),
+    )
+
+
 @query
 def preview_rows(t: Tables) -> DataFrame:
     rows = cx.first_rows(t.read("events"), ["event_type"], ["event_id"])

@@ -49,9 +49,13 @@ class Tables:
         )
 
     def answers(self) -> DataFrame:
-        """Answers to the questions with an even id: the first assistant turn of a conversation."""
-        turns = self.read("conversations").where((F.col("role") == "assistant") & (F.pmod("conv_id", F.lit(2)) == 0))
-        first = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
+        """Answers to the questions: all assistant turns of the question's conversation, in turn order, one a line.
+
+        Turns without text add nothing; a conversation without any is no answer.
+        """
+        turns = self.read("conversations").where((F.col("role") == "assistant") & F.col("text").isNotNull())
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "text")))
+        first = turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
         links = self.read("pages").select(F.col("page_id").alias("query_id"), "url")
         content = F.concat("text", F.lit("\nAs an AI language model I may err. See "), "url", F.lit("."))
         return (
@@ -93,7 +97,7 @@ class Tables:
             table("sales", 1, "orders", "o_orderkey"),
             table("sales", 2, "part", "p_partkey"),
             table("web", 0, "events", "event_id"),
-            table("web", 1, "pages", "page_id", "page_id", "url"),
+            table("web", 1, "pages", "page_id"),
             table("web", 2, "labels", "doc_id"),
         ]
 

@@ -113,3 +113,38 @@ def test_json_export(spark, tmp_path):
     assert row.link.startswith("data:file/json;base64,") and "\n" not in row.link
     export_json(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().a == "é"
+
+
+def test_quoted_line_breaks_read_in_many_blocks(spark, tmp_path):
+    """Records with quoted line breaks, commas, doubled quotes, CRLF and a repeated header, split into small blocks."""
+    import csv
+    import io
+
+    from lodestar.sources.delimited import read_delimited
+
+    rows = [["id", "note", "note", "tail"]]
+    for i in range(400):
+        note = f'line {i},\nnext "q{i}"\r\nend' if i % 3 == 0 else ("" if i % 7 == 0 else f"plain {i}")
+        rows.append([str(i), note, note.upper(), "NA" if i % 11 == 0 else f"t{i}"])
+    buffer = io.StringIO()
+    csv.writer(buffer, lineterminator="\r\n").writerows(rows)
+    folder = tmp_path / "quoted"
+    folder.mkdir()
+    (folder / "a.csv").write_text(buffer.getvalue(), newline="")
+    (folder / "b.tsv").write_text("x\tx\n1\t\"a\tb\"\n", newline="")
+    (folder / "notes.txt").write_text("no separator here\n", newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        cells = read_delimited(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    names = ["id", "note", "note.1", "tail"]
+    missing = {"", "NA"}
+    want = sorted(("a.csv", k, names[j], None if v in missing else v) for k, row in enumerate(rows[1:]) for j, v in enumerate(row))
+    want += [("b.tsv", 0, "x", "1"), ("b.tsv", 0, "x.1", "a\tb")]
+    order = {}
+    for c in cells:
+        order.setdefault(c.path.rsplit("/", 1)[-1], set()).add(c.row_pos)
+    place = {f: {pos: k for k, pos in enumerate(sorted(p))} for f, p in order.items()}
+    got = sorted((c.path.rsplit("/", 1)[-1], place[c.path.rsplit("/", 1)[-1]][c.row_pos], c.column, c.value) for c in cells)
+    assert got == sorted(want)
