@@ -89,9 +89,9 @@ def file_study(
 ) -> StudyFiles:
     """Study files below a folder, as the catalogue names them.
 
-    All tables are read in one scan per separator; a file that is no table has its raw head. Given the datasets
-    ``(dataset)`` that are wanted, only their files are opened; their paths, some for each hit, go to the driver, whose
-    file index holds the paths of what it reads anyway. ``max_files`` keeps the first files of each dataset.
+    All files below the root are one scan; a file that is no table has its raw head. Given the datasets ``(dataset)``
+    that are wanted, the rows of their files are kept by a join on the path with the catalogue's files, so no list
+    of paths goes through the driver. ``max_files`` keeps the first files of each dataset.
     """
     if wanted is not None:
         catalog = catalog.join(wanted, "dataset", "left_semi")
@@ -101,10 +101,8 @@ def file_study(
     files = written(named, "files")
     slots = files.where(~F.col("missing")).select("dataset", "file_pos", "path")
     slots = broadcast_within(slots, files.count(), BROADCAST_ROWS)
-    source: str | list[str] = root
-    if wanted is not None:
-        source = [row.path for row in files.where(~F.col("missing") & (F.col("path") != "")).select("path").distinct().collect()]
-    empty = not source
+    source = root
+    empty = files.where(~F.col("missing") & (F.col("path") != "")).limit(1).count() == 0
     read = spark.createDataFrame([], CELLS_SCHEMA) if empty else read_delimited(spark, source, analysis_rows, multi_line)
     cells = written(read.join(slots, "path"), "cells")
     columns = cells.select(*KEYS, "column").distinct()

@@ -87,3 +87,13 @@ def test_ask(spark, tmp_path):
     assert third.used_datasets == [] and third.recommended_urls == []
     reverse = ask(index, asked, catalog, pubs, answers, None, datasets_first=False)
     assert reverse.where(F.col("query_id") == 1).first().recommended_urls == ["http://a.org/z", "http://p.org/0", "http://d.org/1"]
+
+
+def test_context_of_wanted_files_only(spark, tmp_path):
+    """A wanted dataset gets the same context as in a full study; the others get none."""
+    catalog = load_catalog(spark, make_study(tmp_path))
+    wanted = spark.createDataFrame([("S-1",)], "dataset STRING")
+    study = file_study(spark, catalog, str(tmp_path), wanted=wanted)
+    rows = {r.dataset: r for r in cx.dataset_contexts(catalog.join(wanted, "dataset"), study).collect()}
+    assert set(rows) == {"S-1"} and rows["S-1"].context == CONTEXT
+    assert {r.dataset for r in study.files.collect()} == {"S-1"}
