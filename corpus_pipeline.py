@@ -49,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of 2048 tokens."""
-    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"), added_path=vocabulary("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [

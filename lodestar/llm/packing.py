@@ -37,14 +37,16 @@ def cut(length: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * (length // capacity)
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(
+    docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", added_path: str | None = None
+) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece of every document.
 
     A null or empty text is the end id alone. Repeated rows are documents of their own.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(ranks_path)
+        coder = word_ids(ranks_path, added_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for begin, texts in chunks(batch.column("text")):
@@ -170,7 +172,9 @@ def pack(pieces: DataFrame, by: list[str], capacity: int = CAPACITY, length: str
     return joined.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(
+    docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", added_path: str | None = None
+) -> DataFrame:
     """The pieces of all documents with their places; ``offset`` leaves no gap within a sequence."""
-    pieces = token_pieces(docs, ranks_path, capacity, id_col, text_col)
+    pieces = token_pieces(docs, ranks_path, capacity, id_col, text_col, added_path)
     return pack(pieces, ["doc_id", "piece", "ids_crc32"], capacity)

@@ -29,7 +29,9 @@ def vocabulary(name: str) -> str:
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from lodestar.llm.packing import pack_documents
 
-    return pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return pack_documents(
+        table(spark, folder, "documents"), vocabulary("byte_bpe_50k.tiktoken"), added_path=vocabulary("byte_bpe_50k.json")
+    )
 
 
 @query

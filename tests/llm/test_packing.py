@@ -13,13 +13,14 @@ from tests.llm.cases import odd_rows, prose, table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+ADDED = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(ADDED)
 
 
-TEXTS = ["", " ", "  a", "a  b ", "don't  'll \n x", "\n\na\tb ", "<|endoftext|> x", "😀 漢字 é  z", "a  b", "x \n y"]
+TEXTS = ["", " ", "  a", "a  b ", "don't  'll \n x", "\n\na\tb ", "<|endoftext|> x", "😀 漢字 é  z", "a  b", "x \n y", "see <|endoftext|> here", "<|endoftext|><|endoftext|>", "a<|endoftext|>b  c", "<|endoftext", " <|endoftext|>"]
 
 
 @settings(max_examples=200, deadline=None)
@@ -29,7 +30,7 @@ def test_ids_are_those_of_the_tokenizers_library(texts):
     try:
         ours, theirs = _both
     except NameError:
-        ours, theirs = _both = WordIds(RANKS), reference()
+        ours, theirs = _both = WordIds(RANKS, ADDED), reference()
     got = [np.frombuffer(x, "<u4").tolist() for x in ours.encode([*texts, *TEXTS])]
     assert got == [x.ids for x in theirs.encode_batch([*texts, *TEXTS], add_special_tokens=False)]
 
@@ -49,8 +50,8 @@ def check(rows, capacity):
 
 
 def test_documents_are_cut_and_packed(spark):
-    rows = odd_rows() + [(100 + i, prose(20 + 37 * i, i)) for i in range(60)]
-    out = pack_documents(table(spark, rows), RANKS).collect()
+    rows = odd_rows() + [(100 + i, prose(20 + 37 * i, i)) for i in range(60)] + [(200, "see <|endoftext|> here")]
+    out = pack_documents(table(spark, rows), RANKS, added_path=ADDED).collect()
     coder, want = reference(), []
     for i, t in rows:
         ids = np.array([*coder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
