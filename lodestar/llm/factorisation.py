@@ -26,9 +26,10 @@ class Machine:
     bits: int = 14
     factors: int = 8
     max_rows: int = 8_192
-    # Passes go on until the log loss over the sample falls by less than ``tolerance`` of itself, or ``passes`` end.
-    passes: int = 200
-    tolerance: float = 1e-4
+    # Passes go on until the log loss over the sample falls by less than ``tolerance`` of itself in a pass, or
+    # ``steps`` batches have been taken in all: the cost of a fit is bounded whatever the size of the sample.
+    steps: int = 2_000
+    tolerance: float = 1e-3
     batch: int = 64
     rate: float = 0.1
     l2: float = 1e-5
@@ -127,7 +128,8 @@ def fit(texts: list[str], labels: list[int], how: Machine) -> tuple[np.ndarray,
         return float(np.mean(np.logaddexp(0, raw) - target * raw))
 
     last = loss() if len(target) else 0.0
-    for _ in range(how.passes if len(target) else 0):
+    per_pass = max(1, len(target) // how.batch)
+    for _ in range(-(-how.steps // per_pass) if len(target) else 0):
         for at in np.array_split(random.permutation(len(target)), max(1, len(target) // how.batch)):
             index, values = (np.concatenate([by_text[i][k] for i in at]) for k in (0, 1))
             rows = np.repeat(np.arange(len(at)), [len(by_text[i][0]) for i in at])
