@@ -63,7 +63,7 @@ def test_empty_table(spark, tmp_path):
 def test_registered_queries_run(spark):
     from lodestar.llm.queries import REGISTRY
 
-    assert sorted(int(name[2:].split("_")[0]) for name in REGISTRY) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in REGISTRY) == list(range(1, 14))
     for name, job in REGISTRY.items():
         df = job(spark, "/root/testdata/sf0.001")
         assert df.count() > 0, name
