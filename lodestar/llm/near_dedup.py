@@ -229,21 +229,17 @@ def near_in_keys(member: DataFrame, classes: DataFrame, how: MinHash) -> DataFra
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
-    """``a, b`` of the pairs whose full sets are similar enough."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-                kept.append(100 * both >= how.percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    """``a, b`` of the pairs whose full sets are similar enough.
 
+    The sets are arrays of 64-bit hashes, intersected row by row in the JVM, so a set that many pairs share is
+    never copied into a batch for each of them.
+    """
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("one")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("two")), "b"
     )
-    return joined.select("a", "b", "one", "two").mapInArrow(compared, "a long, b long")
+    both = F.size(F.array_intersect("one", "two"))
+    union = F.size("one") + F.size("two") - both
+    return joined.where(F.lit(100) * both >= F.lit(how.percent) * union).select("a", "b")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, how: MinHash, id_col: str, text_col: str) -> DataFrame:
@@ -252,14 +248,18 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, how: MinHash
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in chunks(batch.column("text")):
-                sets = [s.tobytes() for s in shingle_sets(texts, how.shingle_words)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(begin, len(texts)), pa.array(sets, pa.binary())], ["node", "set"])
+                sets = shingle_sets(texts, how.shingle_words)
+                offsets = np.zeros(len(sets) + 1, np.int32)
+                np.cumsum([len(one) for one in sets], out=offsets[1:])
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(begin, len(texts)), listed], ["node", "set"])
 
     first = classes.join(wanted, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     rows = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["text_hash"] == first["text_hash"])
     # Repeated rows have the same text, so one of them serves.
-    return rows.join(first, same).select("node", "text").dropDuplicates(["node"]).mapInArrow(made, "node long, set binary")
+    return rows.join(first, same).select("node", "text").dropDuplicates(["node"]).mapInArrow(made, "node long, set array<long>")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,8 +286,8 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     weighed = written(members.select("key", "part", "node").join(weight, "node"), "weighed")
     labels = classes.select("node", F.col("node").alias("label"))
     links, seen = spark.createDataFrame([], "a long, b long"), []
-    for _ in range(how.stars):
-        pairs = written(near_enough(starred(weighed, labels), classes, how), "pairs")
+    for round_ in range(how.stars):
+        pairs = written(near_enough(starred(weighed, labels, round_), classes, how), "pairs")
         # The nearest one of each class first; the others only if they would join two components.
         nearest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("n")).select("n.a", "b")
         links, labels = joined_by(docs, nearest, links, classes, how, id_col, text_col)
@@ -312,11 +312,19 @@ def open_members(weighed: DataFrame, labels: DataFrame) -> DataFrame:
     return written(member.join(keys, "key"), "open_members")
 
 
-def starred(weighed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of the weightiest class of each such key with those of other components."""
+def starred(weighed: DataFrame, labels: DataFrame, round_: int = 0) -> DataFrame:
+    """Pairs ``a, b``: every class ``b`` of an open key proposes to one centre of its keys that lies in another
+    component: the weightiest in the first round, one picked by a hash of the pair and the round later, so that a
+    proposal that failed is not made again. A round makes at most one pair a class, however large its group; what
+    stays apart is left to the next round and to the exact pass over the open keys."""
     member = open_members(weighed, labels)
-    center = member.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("c")).select("key", F.col("c.node").alias("a"), F.col("c.label").alias("of"))
-    return member.join(center, "key").where("label <> of").select("a", F.col("node").alias("b")).distinct()
+    center = member.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("c")).select(
+        "key", F.col("c.weight").alias("pull"), F.col("c.node").alias("a"), F.col("c.label").alias("of")
+    )
+    offers = member.join(center, "key").where("label <> of").select(F.col("node").alias("b"), "pull", "a")
+    if round_ > 0:
+        offers = offers.withColumn("pull", F.xxhash64("a", "b", F.lit(round_)))
+    return offers.groupBy("b").agg(F.max(F.struct("pull", "a")).alias("c")).select(F.col("c.a").alias("a"), "b")
 
 
 def joined_by(
