@@ -13,8 +13,8 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct words whose ids a worker keeps; then it starts anew.
-KEPT_WORDS = 700_000
+#: Distinct words whose ids a worker keeps (some 10 MB); then it starts anew.
+KEPT_WORDS = 50_000
 
 _SPACE_THEN_SPACE = re.compile(r" \s")
 

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that are taken at once; one longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are taken at once; one longer text is taken alone. Arrays of a chunk take some eight times
+#: its size each, and the tables of powers sixteen times.
+CHUNK_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 #: Anything but ASCII white space.
