@@ -71,6 +71,17 @@ def substrings(runs: Column, lengths: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*per_length))
 
 
+def all_words(text: Column) -> Column:
+    """Lower-case words of one character or more in text order, repeated ones too."""
+    return _all_matches(F.lower(text), f"{WORD_CHAR}+")
+
+
+def kept_words(words: Column, stop_words: Sequence[str]) -> Column:
+    """Of words in text order those that ``kept_tokens`` finds in the text."""
+    long = F.filter(words, lambda word: F.length(word) >= 2)
+    return F.filter(long, lambda word: ~word.isin(*stop_words)) if stop_words else long
+
+
 def kept_tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-case words of two or more characters in text order, stop words removed."""
     words = _all_matches(F.lower(text), f"{WORD_CHAR}{{2,}}")

@@ -1,21 +1,33 @@
 """TF-IDF index over the search entries, as tables.
 
-The text is shuffled once, by entry. Every later step that groups by entry finds its rows already
-together: term counts, norms and, when questions are ranked, the scores.
+The text is shuffled once, by entry, and taken apart once: its words are written, and the vocabulary,
+the weights and the words of entries are made of them. Tasks have a bounded amount of text, so their
+number grows with the input and their memory does not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestar.functions.text import bigrams, digit_runs, kept_tokens, with_bigrams, word_tokens
+from lodestar.functions.text import all_words, digit_runs, kept_tokens, kept_words, with_bigrams, word_tokens
 from lodestar.session import broadcast_within, written
 from lodestar.settings import BROADCAST_ROWS, IndexSettings
 
 FEATURE_BUCKETS = 64
+# Bytes of text that a task takes apart.
+TASK_BYTES = 8 << 20
+# Tokens that are counted together in a task.
+CHUNK_TOKENS = 2_000_000
+# Terms that are sent to every task that weighs; a larger vocabulary is joined.
+SENT_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,14 +48,21 @@ class SearchIndex:
 
 
 def by_entry(corpus: DataFrame) -> DataFrame:
-    """Entries spread by ``ord`` over the session's shuffle partitions.
+    """Entries spread by ``ord`` over tasks of ``TASK_BYTES`` of text, or more and smaller ones.
 
     The number is given, so that adaptive execution does not merge partitions that are small in
     bytes: taking a text apart costs far more than reading it.
     """
-    spark = corpus.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return corpus.repartition(partitions, "ord")
+    return corpus.repartition(_tasks(corpus, "text"), "ord")
+
+
+def _tasks(texts: DataFrame, column: str) -> int:
+    return _least_tasks(texts.sparkSession, texts.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
+
+
+def _least_tasks(spark: SparkSession, size: int) -> int:
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-size // TASK_BYTES))
 
 
 # Each array is a column of its own step: an array that a later expression uses twice is then
@@ -63,73 +82,228 @@ def term_frequencies(texts: DataFrame, key: str, settings: IndexSettings) -> Dat
     return terms(texts, key, settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def _totals(listed: DataFrame) -> DataFrame:
-    """Document frequency and total count ``(term, df, total)`` from an array ``listed`` per text.
+def entry_tokens(corpus: DataFrame) -> DataFrame:
+    """All words ``(ord, listed)`` of every entry in text order, written."""
+    return written(by_entry(corpus).select("ord", all_words(F.col("text")).alias("listed")), "tokens")
 
-    Each text emits its terms, and its distinct terms once more for the document frequency. So the
-    only grouping is by term, added up before the shuffle; the texts themselves are not shuffled.
-    """
 
-    def counted(terms: Column, occurs: int, new: int) -> Column:
-        return F.transform(
-            terms, lambda t: F.struct(t.alias("term"), F.lit(occurs).alias("occurs"), F.lit(new).alias("new"))
-        )
+@dataclass(frozen=True)
+class _Chunk:
+    """Kept tokens of some texts: ``codes`` into the distinct ``words``, and the ``row`` that each token is in."""
+
+    words: pa.Array
+    codes: np.ndarray
+    row: np.ndarray
+    rows: pa.Table
+
+    @classmethod
+    def of(cls, rows: pa.Table, stop_words: Sequence[str]) -> _Chunk:
+        listed = rows.column("listed").combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        coded = pc.list_flatten(listed).dictionary_encode()
+        # What ``kept_tokens`` keeps of a text, decided once for every distinct word.
+        words = coded.dictionary
+        kept = pc.and_not(pc.greater_equal(pc.utf8_length(words), 2), pc.is_in(words, value_set=pa.array(stop_words, pa.string())))
+        kept = kept.to_numpy(zero_copy_only=False).astype(bool)
+        codes, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
+        of_kept = kept[codes]
+        return cls(words, codes[of_kept], row[of_kept], rows)
+
+
+def _n_tokens(batch: pa.RecordBatch) -> int:
+    return pc.sum(pc.list_value_length(batch.column("listed"))).as_py() or 0
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], stop_words: Sequence[str]) -> Iterator[_Chunk]:
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += _n_tokens(batch)
+        if size >= CHUNK_TOKENS:
+            yield _Chunk.of(pa.Table.from_batches(held), stop_words)
+            held, size = [], 0
+    if size:
+        yield _Chunk.of(pa.Table.from_batches(held), stop_words)
+
+
+def _tallied(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, how often each occurs and in how many rows; rows rise."""
+    order = np.argsort(codes, kind="stable")
+    codes, row = codes[order], row[order]
+    begins = np.ones(len(codes), bool)
+    begins[1:] = codes[1:] != codes[:-1]
+    first = np.flatnonzero(begins)
+    begins[1:] |= row[1:] != row[:-1]
+    new = np.add.reduceat(begins.astype(np.int64), first) if len(first) else first
+    return codes[first], np.diff(first, append=len(codes)), new
+
+
+def word_counts(listed: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """``(term, df, total)`` of all kept words of the column ``listed``, added up in each task before the shuffle."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunked(batches, stop_words):
+            found, occurs, new = _tallied(chunk.codes, chunk.row)
+            yield pa.RecordBatch.from_arrays([chunk.words.take(pa.array(found)), pa.array(occurs), pa.array(new)], ["term", "occurs", "new"])
+
+    parts = listed.select("listed").mapInArrow(counted, "term string, occurs long, new long")
+    return parts.groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
+
+
+def pair_counts(listed: DataFrame, stop_words: Sequence[str], known: DataFrame, tasks: int) -> DataFrame:
+    """``(term, df, total)`` of the pairs of neighbours among kept words that are both ``known`` words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunked(batches, stop_words):
+            n = len(chunk.words)
+            together = chunk.row[1:] == chunk.row[:-1]
+            found, occurs, new = _tallied((chunk.codes[:-1] * n + chunk.codes[1:])[together], chunk.row[1:][together])
+            sides = [chunk.words.take(pa.array(side)) for side in (found // n, found % n)]
+            yield pa.RecordBatch.from_arrays([*sides, pa.array(occurs), pa.array(new)], ["first", "second", "occurs", "new"])
+
+    pairs = listed.select("listed").mapInArrow(counted, "first string, second string, occurs long, new long")
+    for side in ("first", "second"):
+        pairs = pairs.join(known.withColumnRenamed("term", side), side, "left_semi")
+    term = F.concat("first", F.lit(" "), "second").alias("term")
+    # Tasks have added up their own pairs, so what is shuffled is what has to be grouped; more input has more tasks.
+    return pairs.select(term, "occurs", "new").repartition(tasks, "term").groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
 
-    return listed.select(F.inline(F.concat(counted(F.col("listed"), 1, 0), counted(F.array_distinct("listed"), 0, 1))))
+
+def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
+    """Most frequent terms ``(term, df, total, idf)`` of all entries, ties by term; written."""
+    if settings.max_features == 0:
+        return _no_vocabulary(corpus.sparkSession)
+    return vocabulary_of(entry_tokens(corpus), settings)
 
 
-def _summed(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
+def _no_vocabulary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
 
 
-def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
-    """Most frequent terms ``(term, df, total, idf)`` of all entries, ties by term; written.
+def vocabulary_of(listed: DataFrame, settings: IndexSettings) -> DataFrame:
+    """``vocabulary`` of entries ``(ord, listed)``.
 
     A pair of words is at most as frequent as either word. So words are counted first, and pairs
     only of words that reach the count of the last word that would make the vocabulary; the many
-    pairs of rare words are neither counted nor shuffled.
+    pairs of rare words are not shuffled.
     """
-    if settings.max_features == 0:
-        return corpus.sparkSession.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
-    tokens = written(_tokens(by_entry(corpus), "ord", settings), "tokens")
-    words = written(_summed(_totals(tokens.select(F.col("tokens").alias("listed")))), "words")
-    pairs = _totals(tokens.select(bigrams(F.col("tokens")).alias("listed")))
+    words = written(word_counts(listed, settings.stop_words), "words")
     frequent = words
     if settings.max_features is not None:
         best = words.orderBy(F.desc("total")).limit(settings.max_features)
         reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
         floor = reached.total if reached.n == settings.max_features else 1
         frequent = words.where(F.col("total") >= floor)
-        # Equal pairs are added up before they are joined; Spark picks the join by the size of the words.
-        pairs = pairs.groupBy("term").agg(F.sum("occurs").alias("occurs"), F.sum("new").alias("new"))
-        for side, part in (("first", 1), ("second", -1)):
-            known = frequent.select(F.col("term").alias(side))
-            pairs = pairs.join(known, F.substring_index("term", " ", part) == F.col(side), "left_semi")
-    entries = corpus.agg(F.count("*")).scalar()
+    sums = frequent.agg(F.count("*").alias("n"), F.sum("total").alias("total")).first()
+    # Pairs of frequent words are no more than occurrences of frequent words.
+    tasks = _least_tasks(listed.sparkSession, (sums.total or 0) * 8)
+    pairs = pair_counts(listed, settings.stop_words, broadcast_within(frequent.select("term"), sums.n, SENT_TERMS), tasks)
+    entries = listed.count()
     idf = F.log((F.lit(1.0) + entries) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocab = frequent.unionByName(_summed(pairs))
+    vocab = frequent.unionByName(pairs)
     if settings.max_features is not None:
         vocab = vocab.orderBy(F.desc("total"), "term").limit(settings.max_features)
     return written(vocab.select("term", "df", "total", idf.alias("idf")), "vocabulary")
 
 
 def weights(texts: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
-    """Weights ``(key, term, weight)`` of the known terms of each text, of norm 1 per text.
+    """Weights ``(key, term, weight)`` of the known terms of each text, of norm 1 per key."""
+    listed = texts.select(key, all_words(F.col("text")).alias("listed"))
+    return weights_of(listed.repartition(key), key, vocab, settings)
+
+
+def weights_of(listed: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
+    """``weights`` of texts ``(key, listed)`` that are spread by their key; rows of one key are one text.
 
-    Unknown terms, most of all pairs, leave before anything is counted. The cap on the vocabulary
-    is its proven row bound.
+    A capped vocabulary goes to every task, as a broadcast would; without a cap that is low enough terms are joined.
     """
-    known = vocab.select("term", "idf")
-    if settings.max_features is not None:
-        known = broadcast_within(known, settings.max_features, BROADCAST_ROWS)
-    raw = (
-        terms(texts, key, settings)
-        .join(known, "term")
-        .groupBy(key, "term")
-        .agg((F.count("*") * F.max("idf")).alias("raw"))
-    )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    if settings.max_features is None or settings.max_features > SENT_TERMS:
+        raw = (
+            listed.select(key, kept_words(F.col("listed"), settings.stop_words).alias("tokens"))
+            .select(key, F.explode(with_bigrams(F.col("tokens"))).alias("term"))
+            .join(vocab.select("term", "idf"), "term")
+            .groupBy(key, "term")
+            .agg((F.count("*") * F.max("idf")).alias("raw"))
+        )
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+        return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    known = vocab.select("term", "idf").orderBy("term").toArrow()
+    schema = StructType([StructField(key, listed.schema[key].dataType), StructField("term", StringType()), StructField("weight", DoubleType())])
+    weigh, stop_words = _Weigher(known), settings.stop_words
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, text in _whole_texts(batches, key):
+            yield weigh.rows(_Chunk.of(rows, stop_words), text, key)
+
+    return listed.sortWithinPartitions(key).mapInArrow(weighed, schema)
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by key, in chunks that hold all rows of their keys, and the number of each row's key in its chunk."""
+
+    def numbered(rows: pa.Table) -> np.ndarray:
+        # Rows are sorted, so the codes of keys rise in the order of rows; a null key is a key.
+        return rows.column(key).combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+
+    held, size = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            size += _n_tokens(batch)
+        if size >= CHUNK_TOKENS:
+            rows = pa.Table.from_batches(held)
+            text = numbered(rows)
+            done = int(np.searchsorted(text, text[-1]))
+            if done:
+                yield rows.slice(0, done), text[:done]
+            held = rows.slice(done).to_batches()
+            size = sum(map(_n_tokens, held))
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, numbered(rows)
+
+
+class _Weigher:
+    """Weights by a small vocabulary: terms are numbered by their place, pairs are found by the numbers of their words."""
+
+    def __init__(self, known: pa.Table):
+        self.terms = known.column("term").combine_chunks()
+        self.idf = known.column("idf").to_numpy()
+        parts = [term.split(" ") for term in self.terms.to_pylist()]
+        words = sorted({word for part in parts for word in part})
+        place = {word: i for i, word in enumerate(words)}
+        self.words = pa.array(words, pa.string())
+        self.alone = np.full(len(words) + 1, -1, np.int64)
+        pairs = []
+        for term, part in enumerate(parts):
+            if len(part) == 1:
+                self.alone[place[part[0]]] = term
+            else:
+                pairs.append((place[part[0]] * len(words) + place[part[1]], term))
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pairs, self.pair_terms = pairs[:, 0], pairs[:, 1]
+
+    def rows(self, chunk: _Chunk, text: np.ndarray, key: str) -> pa.RecordBatch:
+        n, n_terms = len(self.words), max(len(self.terms), 1)
+        # A word that is in no term has the number ``n``.
+        word = pc.fill_null(pc.index_in(chunk.words, value_set=self.words), n).to_numpy().astype(np.int64)[chunk.codes]
+        of = text[chunk.row]
+        term = self.alone[word]
+        found = [(of * n_terms + term)[term >= 0]]
+        if len(self.pairs) and len(word) > 1:
+            pair = word[:-1] * n + word[1:]
+            both = (chunk.row[1:] == chunk.row[:-1]) & (word[:-1] < n) & (word[1:] < n)
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            both &= self.pairs[at] == pair
+            found.append((of[1:] * n_terms + self.pair_terms[at])[both])
+        codes, count = np.unique(np.concatenate(found), return_counts=True)
+        of, term = codes // n_terms, codes % n_terms
+        raw = count * self.idf[term]
+        norm = np.sqrt(np.bincount(of, raw * raw))
+        first = np.searchsorted(text, of)
+        keys = chunk.rows.column(key).combine_chunks().take(pa.array(first))
+        return pa.RecordBatch.from_arrays([keys, self.terms.take(pa.array(term)), pa.array(raw / norm[of])], [key, "term", "weight"])
 
 
 def entry_words(corpus: DataFrame) -> DataFrame:
@@ -141,13 +315,24 @@ def entry_runs(corpus: DataFrame) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) -> SearchIndex:
-    vocab = vocabulary(corpus, settings)
-    clustered = by_entry(corpus)
+    if settings.max_features == 0:
+        clustered = by_entry(corpus)
+        vocab = _no_vocabulary(corpus.sparkSession)
+        ord_type = corpus.schema["ord"].dataType.simpleString()
+        weighed = corpus.sparkSession.createDataFrame([], f"ord {ord_type}, term STRING, weight DOUBLE")
+        words = entry_words(clustered)
+    else:
+        tasks = _tasks(corpus, "text")
+        clustered = corpus.repartition(tasks, "ord")
+        listed = written(clustered.select("ord", all_words(F.col("text")).alias("listed")), "tokens")
+        vocab = vocabulary_of(listed, settings)
+        weighed = weights_of(listed.repartition(tasks, "ord"), "ord", vocab, settings)
+        words = listed.select("ord", F.explode(F.array_distinct("listed")).alias("word"))
     return SearchIndex(
         entries=corpus.select("ord", "key", "entry_type"),
         vocabulary=vocab,
-        terms=weights(clustered, "ord", vocab, settings),
-        words=entry_words(clustered),
+        terms=weighed,
+        words=words,
         runs=entry_runs(clustered),
         settings=settings,
     )

@@ -123,3 +123,43 @@ def test_bounded_pairs_give_the_hits_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(rk, "RARE_POSTINGS", rare)
         assert hits(rk.bounded_pairs(index, questions)) == want
     assert len(want) > 20
+
+
+def test_words_are_taken_apart_once_and_tasks_grow_with_the_text(spark, monkeypatch):
+    """Weights and words read the written tokens, and a task's text is bounded: more text has more tasks."""
+    corpus = corpus_of(spark, ["gene mouse"] * 50)
+    few = ix.by_entry(corpus).rdd.getNumPartitions()
+    monkeypatch.setattr(ix, "TASK_BYTES", 10)
+    assert ix.by_entry(corpus).rdd.getNumPartitions() == 50 > few
+    index = ix.build_index(corpus, IndexSettings(STOP))
+    for table in (index.terms, index.words):
+        assert "regexp_extract_all" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cap", [6, 100])
+def test_chunks_do_not_change_terms(spark, monkeypatch, cap):
+    """Counts and weights by chunks of a few tokens, also of entries in several rows, are those of plain grouping."""
+    corpus, _ = many(spark)
+    corpus = corpus.unionByName(corpus.where("ord < 9")).unionByName(corpus.limit(1).withColumn("text", F.lit(None).cast("string")))
+    settings = IndexSettings(STOP, cap)
+    monkeypatch.setattr(ix, "CHUNK_TOKENS", 3)
+    index = ix.build_index(corpus, settings)
+    counted = ix.terms(corpus, "ord", settings).groupBy("term", "ord").count().groupBy("term").agg(F.count("*").alias("entries"), F.sum("count").alias("total"))
+    listed = corpus.select(F.array_distinct(ix.with_bigrams(ix.kept_tokens(F.col("text"), STOP))).alias("t")).select(F.explode("t").alias("term"))
+    df = listed.groupBy("term").agg(F.count("*").alias("df"))
+    want = [tuple(r) for r in counted.join(df, "term").orderBy(F.desc("total"), "term").limit(cap).select("term", "df", "total").collect()]
+    assert [(r.term, r.df, r.total) for r in index.vocabulary.orderBy(F.desc("total"), "term").collect()] == want
+    monkeypatch.setattr(ix, "SENT_TERMS", 0)
+    joined = ix.weights(corpus, "ord", index.vocabulary, settings)
+    got, plain = (sorted((r.ord, r.term, round(r.weight, 9)) for r in x.collect()) for x in (index.terms, joined))
+    assert got == plain and len(got) > 100
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_few_and_many_questions_have_the_same_hits(spark, monkeypatch, few):
+    """Also of entries in two rows, and with no table of blocks or pairs broadcast."""
+    corpus, questions = many(spark)
+    index = ix.build_index(corpus.unionByName(corpus.where("ord < 9")), IndexSettings(STOP, 30))
+    want = collected(rk.top_pairs(rk.score_pairs(index, questions)).join(index.entries.select("ord", "key"), "ord"))
+    monkeypatch.setattr(rk, "ALL_PAIRS_QUESTIONS", few)
+    assert collected(rk.search(index, questions)) == want and want
