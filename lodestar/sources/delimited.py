@@ -117,16 +117,17 @@ def _quoted_cells(spark: SparkSession, paths: Sequence[str] | str, analysis_rows
 
     cells = F.when(F.col("separator") == "\t", parsed("\t")).otherwise(parsed(","))
     n_files = headers.count()
-    rows = written(
-        records.join(broadcast_within(headers, n_files, BROADCAST_ROWS), "uri")
-        .where(F.col("seq") > F.col("header_seq"))
-        .select("uri", "seq", "names", cells.alias("parsed"))
-        .select("uri", "seq", "names", F.array(*[F.col("parsed")[f] for f in fields]).alias("cells")),
-        "rows",
-    )
-    first = rows.groupBy("uri").agg(F.min_by("cells", "seq").alias("first"), F.first("names").alias("names"))
+    data = records.join(broadcast_within(headers, n_files, BROADCAST_ROWS), "uri").where(F.col("seq") > F.col("header_seq"))
+
+    def listed(df: DataFrame, name: str, *keep: str) -> DataFrame:
+        return df.select(*keep, cells.alias("parsed")).select(*keep, F.array(*[F.col("parsed")[f] for f in fields]).alias(name))
+
+    # Records are parsed where they are used; of each file only the first is parsed before.
+    rows = listed(data, "cells", "uri", "seq", "names")
+    begins = data.groupBy("uri").agg(F.min_by("record", "seq").alias("record"), F.first("names").alias("names"), F.first("separator").alias("separator"))
+    first = listed(begins, "first", "uri", "names")
     wider = F.exists(F.slice("first", F.size("names") + 1, len(fields)), lambda cell: cell.isNotNull())
-    usable = first.where(~wider).select("uri")
+    usable = written(first.where(~wider).select("uri"), "usable")
     if analysis_rows is not None:
         order = Window.partitionBy("uri").orderBy("seq")
         rows = rows.withColumn("row_pos", F.row_number().over(order) - 1).where(F.col("row_pos") < analysis_rows)

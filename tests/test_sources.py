@@ -148,3 +148,36 @@ def test_quoted_line_breaks_read_in_many_blocks(spark, tmp_path):
     place = {f: {pos: k for k, pos in enumerate(sorted(p))} for f, p in order.items()}
     got = sorted((c.path.rsplit("/", 1)[-1], place[c.path.rsplit("/", 1)[-1]][c.row_pos], c.column, c.value) for c in cells)
     assert got == sorted(want)
+
+
+def test_lines_of_quoted_records_are_placed_where_they_are_read(spark):
+    """Running quotes and record starts of blocks that end within a batch or go on in the next one, in any split."""
+    import random
+
+    import pyarrow as pa
+
+    from lodestar.sources.quoted import _placed
+
+    pick = random.Random(5)
+    rows = [(f"f{i // 40}", (i // 13) * 100, i, "x", pick.randrange(3)) for i in range(120)]
+    names = ["uri", "block", "seq", "line", "quotes"]
+    want = []
+    for i, (uri, block, seq, _, _) in enumerate(rows):
+        mine = [r for r in rows[: i + 1] if r[:2] == (uri, block)]
+        passed = [sum(r[4] for r in mine[:k]) for k in range(len(mine))]
+        starts = [max((r[2] for r, p in zip(mine, passed, strict=True) if p % 2 == odd), default=None) for odd in (0, 1)]
+        want.append((passed[-1], *starts))
+    for size in (1, 7, 13, 120):
+        parts = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + size]]) for k in range(0, 120, size)]
+        got = pa.Table.from_batches(list(_placed(iter(parts)))).to_pylist()
+        assert [(r["passed"], r["if_outside"], r["if_inside"]) for r in got] == want
+
+
+def test_quoted_records_shuffle_no_whole_lines(spark, tmp_path):
+    """Lines are read, placed and written without an exchange."""
+    from lodestar.sources import quoted
+
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,"z"\n')
+    placed = quoted.physical_lines(spark, str(tmp_path)).mapInArrow(quoted._placed, f"{quoted.LINES_SCHEMA}, passed long, if_outside long, if_inside long")
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.record for r in quoted.quoted_records(spark, str(tmp_path)).collect()) == ['1,"x\ny"', '2,"z"', "a,b"]
