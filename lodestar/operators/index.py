@@ -1,6 +1,6 @@
 """TF-IDF index over the search entries, as tables.
 
-The text is shuffled once, by entry, and taken apart once: its words are written, and the vocabulary,
+The text is shuffled once, by entry, and taken apart once, into written blocks of coded words: the vocabulary,
 the weights and the words of entries are made of them. Tasks have a bounded amount of text, so their
 number grows with the input and their memory does not.
 """
@@ -17,15 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lodestar.functions.text import all_words, digit_runs, kept_tokens, kept_words, with_bigrams, word_tokens
-from lodestar.session import broadcast_within, written
-from lodestar.settings import BROADCAST_ROWS, IndexSettings
+from lodestar.functions.text import digit_runs, kept_tokens, with_bigrams
+from lodestar.operators.coded import Block, blocks_of, distinct, read_blocks
+from lodestar.session import written
+from lodestar.settings import IndexSettings
 
 FEATURE_BUCKETS = 64
 # Bytes of text that a task takes apart.
 TASK_BYTES = 8 << 20
-# Tokens that are counted together in a task.
+# Tokens that are counted and weighed together in a task, of 4 bytes of text each.
 CHUNK_TOKENS = 2_000_000
+# What of a block says which words its texts hold.
+BLOCK_WORDS = ("keys", "sizes", "words", "codes", "runs", "run_rows")
 # Terms that are sent to every task that weighs; a larger vocabulary is joined.
 SENT_TERMS = 100_000
 
@@ -36,7 +39,8 @@ class SearchIndex:
 
     entries: ``(ord, key, entry_type)``. vocabulary: ``(term, df, total, idf)``. terms:
     ``(ord, term, weight)``. words: ``(ord, word)``, each word of an entry once. runs:
-    ``(ord, runs)``, the digit runs of each entry.
+    ``(ord, runs)``, the digit runs of each entry. blocks: the texts as blocks of coded words, if the
+    index was built in this session.
     """
 
     entries: DataFrame
@@ -45,6 +49,7 @@ class SearchIndex:
     words: DataFrame
     runs: DataFrame
     settings: IndexSettings
+    blocks: DataFrame | None = None
 
 
 def by_entry(corpus: DataFrame) -> DataFrame:
@@ -82,124 +87,104 @@ def term_frequencies(texts: DataFrame, key: str, settings: IndexSettings) -> Dat
     return terms(texts, key, settings).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def entry_tokens(corpus: DataFrame) -> DataFrame:
-    """All words ``(ord, listed)`` of every entry in text order, written."""
-    return written(by_entry(corpus).select("ord", all_words(F.col("text")).alias("listed")), "tokens")
+def entry_blocks(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
+    """The entries' texts taken apart, as blocks of coded words; written."""
+    return written(blocks_of(by_entry(corpus), "ord", settings.stop_words, 4 * CHUNK_TOKENS), "blocks")
 
 
-@dataclass(frozen=True)
-class _Chunk:
-    """Kept tokens of some texts: ``codes`` into the distinct ``words``, and the ``row`` that each token is in."""
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """``(term, df, total)`` of all kept words, added up in each block before the shuffle."""
+    parts = blocks.select(F.inline(F.arrays_zip("words", "occurs", "found"))).where(F.col("found") > 0)
+    return parts.groupBy(F.col("words").alias("term")).agg(F.sum("found").alias("df"), F.sum("occurs").alias("total"))
 
-    words: pa.Array
-    codes: np.ndarray
-    row: np.ndarray
-    rows: pa.Table
 
-    @classmethod
-    def of(cls, rows: pa.Table, stop_words: Sequence[str]) -> _Chunk:
-        listed = rows.column("listed").combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
-        coded = pc.list_flatten(listed).dictionary_encode()
-        # What ``kept_tokens`` keeps of a text, decided once for every distinct word.
-        words = coded.dictionary
-        kept = pc.and_not(pc.greater_equal(pc.utf8_length(words), 2), pc.is_in(words, value_set=pa.array(stop_words, pa.string())))
-        kept = kept.to_numpy(zero_copy_only=False).astype(bool)
-        codes, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
-        of_kept = kept[codes]
-        return cls(words, codes[of_kept], row[of_kept], rows)
-
-
-def _n_tokens(batch: pa.RecordBatch) -> int:
-    return pc.sum(pc.list_value_length(batch.column("listed"))).as_py() or 0
-
-
-def _chunked(batches: Iterator[pa.RecordBatch], stop_words: Sequence[str]) -> Iterator[_Chunk]:
-    held, size = [], 0
-    for batch in batches:
-        if len(batch):
-            held.append(batch)
-            size += _n_tokens(batch)
-        if size >= CHUNK_TOKENS:
-            yield _Chunk.of(pa.Table.from_batches(held), stop_words)
-            held, size = [], 0
-    if size:
-        yield _Chunk.of(pa.Table.from_batches(held), stop_words)
-
-
-def _tallied(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct codes, how often each occurs and in how many rows; rows rise."""
-    order = np.argsort(codes, kind="stable")
-    codes, row = codes[order], row[order]
-    begins = np.ones(len(codes), bool)
-    begins[1:] = codes[1:] != codes[:-1]
+def _pairs(block: Block, number: np.ndarray, n: int, stop_words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of neighbours among a block's kept words, for words by their ``number`` below ``n`` (-1: in no pair), as
+    ``first * n + second``; how often each occurs and in how many rows."""
+    of_kept = block.kept(stop_words)[block.codes]
+    word, row = number[block.codes[of_kept]], block.row[of_kept]
+    known = (row[1:] == row[:-1]) & (word[1:] >= 0) & (word[:-1] >= 0)
+    rows = max(len(block.keys), 1)
+    found = np.sort((word[:-1] * n + word[1:])[known] * rows + row[1:][known])
+    pair = found // rows
+    begins = np.ones(len(pair), bool)
+    begins[1:] = pair[1:] != pair[:-1]
     first = np.flatnonzero(begins)
-    begins[1:] |= row[1:] != row[:-1]
+    begins[1:] |= found[1:] != found[:-1]
     new = np.add.reduceat(begins.astype(np.int64), first) if len(first) else first
-    return codes[first], np.diff(first, append=len(codes)), new
-
-
-def word_counts(listed: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """``(term, df, total)`` of all kept words of the column ``listed``, added up in each task before the shuffle."""
+    return pair[first], np.diff(first, append=len(pair)), new
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunked(batches, stop_words):
-            found, occurs, new = _tallied(chunk.codes, chunk.row)
-            yield pa.RecordBatch.from_arrays([chunk.words.take(pa.array(found)), pa.array(occurs), pa.array(new)], ["term", "occurs", "new"])
 
-    parts = listed.select("listed").mapInArrow(counted, "term string, occurs long, new long")
-    return parts.groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
+def pair_counts(blocks: DataFrame, stop_words: Sequence[str], known: DataFrame, floor: int, tasks: int) -> DataFrame:
+    """``(term, df, total)`` of the pairs of neighbours among kept words that are both ``known`` words and that occur
+    ``floor`` times or more.
 
-
-def pair_counts(listed: DataFrame, stop_words: Sequence[str], known: DataFrame, tasks: int) -> DataFrame:
-    """``(term, df, total)`` of the pairs of neighbours among kept words that are both ``known`` words."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunked(batches, stop_words):
-            n = len(chunk.words)
-            together = chunk.row[1:] == chunk.row[:-1]
-            found, occurs, new = _tallied((chunk.codes[:-1] * n + chunk.codes[1:])[together], chunk.row[1:][together])
-            sides = [chunk.words.take(pa.array(side)) for side in (found // n, found % n)]
+    Up to ``SENT_TERMS`` known words go to every task, and pairs are shuffled as two numbers in one.
+    """
+    sums = [F.sum("new").alias("df"), F.sum("occurs").alias("total")]
+    reached = F.col("total") >= floor
+    if known.count() <= SENT_TERMS:
+        words = known.select("term").orderBy("term").toArrow().column("term").combine_chunks()
+        n = max(len(words), 1)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in read_blocks(batches):
+                number = pc.fill_null(pc.index_in(block.words, value_set=words), -1).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _pairs(block, number, n, stop_words))], ["pair", "occurs", "new"])
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pair = batch.column("pair").to_numpy()
+                sides = [words.take(pa.array(side)) for side in (pair // n, pair % n)]
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*sides, " "), batch.column("df"), batch.column("total")], ["term", "df", "total"])
+
+        pairs = blocks.select(*BLOCK_WORDS).mapInArrow(counted, "pair long, occurs long, new long")
+        return pairs.repartition(tasks, "pair").groupBy("pair").agg(*sums).where(reached).mapInArrow(named, "term string, df long, total long")
+
+    def as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read_blocks(batches):
+            n = max(len(block.words), 1)
+            pair, occurs, new = _pairs(block, np.arange(len(block.words)), n, stop_words)
+            sides = [block.words.take(pa.array(side)) for side in (pair // n, pair % n)]
             yield pa.RecordBatch.from_arrays([*sides, pa.array(occurs), pa.array(new)], ["first", "second", "occurs", "new"])
 
-    pairs = listed.select("listed").mapInArrow(counted, "first string, second string, occurs long, new long")
+    pairs = blocks.select(*BLOCK_WORDS).mapInArrow(as_words, "first string, second string, occurs long, new long")
     for side in ("first", "second"):
-        pairs = pairs.join(known.withColumnRenamed("term", side), side, "left_semi")
+        pairs = pairs.join(known.select(F.col("term").alias(side)), side, "left_semi")
     term = F.concat("first", F.lit(" "), "second").alias("term")
     # Tasks have added up their own pairs, so what is shuffled is what has to be grouped; more input has more tasks.
-    return pairs.select(term, "occurs", "new").repartition(tasks, "term").groupBy("term").agg(F.sum("new").alias("df"), F.sum("occurs").alias("total"))
+    return pairs.select(term, "occurs", "new").repartition(tasks, "term").groupBy("term").agg(*sums).where(reached)
 
 
 def vocabulary(corpus: DataFrame, settings: IndexSettings) -> DataFrame:
     """Most frequent terms ``(term, df, total, idf)`` of all entries, ties by term; written."""
     if settings.max_features == 0:
         return _no_vocabulary(corpus.sparkSession)
-    return vocabulary_of(entry_tokens(corpus), settings)
+    return vocabulary_of(entry_blocks(corpus, settings), settings)
 
 
 def _no_vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "term STRING, df BIGINT, total BIGINT, idf DOUBLE")
 
 
-def vocabulary_of(listed: DataFrame, settings: IndexSettings) -> DataFrame:
-    """``vocabulary`` of entries ``(ord, listed)``.
+def vocabulary_of(blocks: DataFrame, settings: IndexSettings) -> DataFrame:
+    """``vocabulary`` of the entries in blocks.
 
     A pair of words is at most as frequent as either word. So words are counted first, and pairs
     only of words that reach the count of the last word that would make the vocabulary; the many
     pairs of rare words are not shuffled.
     """
-    words = written(word_counts(listed, settings.stop_words), "words")
-    frequent = words
+    words = written(word_counts(blocks), "words")
+    frequent, floor = words, 1
     if settings.max_features is not None:
         best = words.orderBy(F.desc("total")).limit(settings.max_features)
         reached = best.agg(F.count("*").alias("n"), F.min("total").alias("total")).first()
         floor = reached.total if reached.n == settings.max_features else 1
         frequent = words.where(F.col("total") >= floor)
-    sums = frequent.agg(F.count("*").alias("n"), F.sum("total").alias("total")).first()
+    occurrences = frequent.agg(F.sum("total")).first()[0] or 0
     # Pairs of frequent words are no more than occurrences of frequent words.
-    tasks = _least_tasks(listed.sparkSession, (sums.total or 0) * 8)
-    pairs = pair_counts(listed, settings.stop_words, broadcast_within(frequent.select("term"), sums.n, SENT_TERMS), tasks)
-    entries = listed.count()
+    pairs = pair_counts(blocks, settings.stop_words, frequent, floor, _least_tasks(blocks.sparkSession, occurrences * 8))
+    entries = blocks.agg(F.sum(F.size("keys"))).first()[0] or 0
     idf = F.log((F.lit(1.0) + entries) / (F.lit(1.0) + F.col("df"))) + 1.0
     vocab = frequent.unionByName(pairs)
     if settings.max_features is not None:
@@ -209,65 +194,54 @@ def vocabulary_of(listed: DataFrame, settings: IndexSettings) -> DataFrame:
 
 def weights(texts: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
     """Weights ``(key, term, weight)`` of the known terms of each text, of norm 1 per key."""
-    listed = texts.select(key, all_words(F.col("text")).alias("listed"))
-    return weights_of(listed.repartition(key), key, vocab, settings)
+    return weights_of(blocks_of(texts.select(key, "text").repartition(key), key, settings.stop_words, 4 * CHUNK_TOKENS), key, vocab, settings)
 
 
-def weights_of(listed: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
-    """``weights`` of texts ``(key, listed)`` that are spread by their key; rows of one key are one text.
+def weights_of(blocks: DataFrame, key: str, vocab: DataFrame, settings: IndexSettings) -> DataFrame:
+    """``weights`` of the texts in blocks; rows of one key are one text.
 
     A capped vocabulary goes to every task, as a broadcast would; without a cap that is low enough terms are joined.
     """
+    kind, stop_words = blocks.schema["keys"].dataType.elementType, settings.stop_words
     if settings.max_features is None or settings.max_features > SENT_TERMS:
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in read_blocks(batches):
+                codes = block.codes[block.kept(stop_words)[block.codes]]
+                row = block.row[block.kept(stop_words)[block.codes]]
+                together = row[1:] == row[:-1]
+                words = block.words.take(pa.array(codes))
+                # Neighbours are neighbours in one row.
+                at = np.flatnonzero(together)
+                pairs = pc.binary_join_element_wise(words.take(pa.array(at)), words.take(pa.array(at + 1)), " ")
+                keys = block.keys.take(pa.array(np.concatenate([row, row[1:][together]])))
+                yield pa.RecordBatch.from_arrays([keys, pa.concat_arrays([words, pairs])], [key, "term"])
+
         raw = (
-            listed.select(key, kept_words(F.col("listed"), settings.stop_words).alias("tokens"))
-            .select(key, F.explode(with_bigrams(F.col("tokens"))).alias("term"))
+            blocks.select(*BLOCK_WORDS)
+            .mapInArrow(listed, StructType([StructField(key, kind), StructField("term", StringType())]))
             .join(vocab.select("term", "idf"), "term")
             .groupBy(key, "term")
             .agg((F.count("*") * F.max("idf")).alias("raw"))
         )
         norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
         return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
-    known = vocab.select("term", "idf").orderBy("term").toArrow()
-    schema = StructType([StructField(key, listed.schema[key].dataType), StructField("term", StringType()), StructField("weight", DoubleType())])
-    weigh, stop_words = _Weigher(known), settings.stop_words
+    weigher = Weigher.of(vocab, stop_words)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, text in _whole_texts(batches, key):
-            yield weigh.rows(_Chunk.of(rows, stop_words), text, key)
-
-    return listed.sortWithinPartitions(key).mapInArrow(weighed, schema)
-
-
-def _whole_texts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Rows sorted by key, in chunks that hold all rows of their keys, and the number of each row's key in its chunk."""
-
-    def numbered(rows: pa.Table) -> np.ndarray:
-        # Rows are sorted, so the codes of keys rise in the order of rows; a null key is a key.
-        return rows.column(key).combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
-
-    held, size = [], 0
-    for batch in batches:
-        if len(batch):
-            held.append(batch)
-            size += _n_tokens(batch)
-        if size >= CHUNK_TOKENS:
-            rows = pa.Table.from_batches(held)
-            text = numbered(rows)
-            done = int(np.searchsorted(text, text[-1]))
-            if done:
-                yield rows.slice(0, done), text[:done]
-            held = rows.slice(done).to_batches()
-            size = sum(map(_n_tokens, held))
-    if held:
-        rows = pa.Table.from_batches(held)
-        yield rows, numbered(rows)
-
-
-class _Weigher:
+        for block in read_blocks(batches):
+            row, term, weight = weigher.weights(block)
+            yield pa.RecordBatch.from_arrays([block.keys.take(pa.array(row)), weigher.terms.take(pa.array(term)), pa.array(weight)], [key, "term", "weight"])
+
+    schema = StructType([StructField(key, kind), StructField("term", StringType()), StructField("weight", DoubleType())])
+    return blocks.select(*BLOCK_WORDS).mapInArrow(weighed, schema)
+
+
+class Weigher:
     """Weights by a small vocabulary: terms are numbered by their place, pairs are found by the numbers of their words."""
 
-    def __init__(self, known: pa.Table):
+    def __init__(self, known: pa.Table, stop_words: Sequence[str]):
+        self.stop_words = stop_words
         self.terms = known.column("term").combine_chunks()
         self.idf = known.column("idf").to_numpy()
         parts = [term.split(" ") for term in self.terms.to_pylist()]
@@ -284,30 +258,43 @@ class _Weigher:
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.pairs, self.pair_terms = pairs[:, 0], pairs[:, 1]
 
-    def rows(self, chunk: _Chunk, text: np.ndarray, key: str) -> pa.RecordBatch:
+    @classmethod
+    def of(cls, vocab: DataFrame, stop_words: Sequence[str]) -> Weigher:
+        return cls(vocab.select("term", "idf").orderBy("term").toArrow(), stop_words)
+
+    def weights(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text of a block its terms: a row of the text, the number of the term and its weight, in order of texts and terms."""
         n, n_terms = len(self.words), max(len(self.terms), 1)
+        of_kept = block.kept(self.stop_words)[block.codes]
         # A word that is in no term has the number ``n``.
-        word = pc.fill_null(pc.index_in(chunk.words, value_set=self.words), n).to_numpy().astype(np.int64)[chunk.codes]
-        of = text[chunk.row]
+        word = pc.fill_null(pc.index_in(block.words, value_set=self.words), n).to_numpy().astype(np.int64)[block.codes[of_kept]]
+        row = block.row[of_kept]
+        of = block.text[row]
         term = self.alone[word]
         found = [(of * n_terms + term)[term >= 0]]
         if len(self.pairs) and len(word) > 1:
             pair = word[:-1] * n + word[1:]
-            both = (chunk.row[1:] == chunk.row[:-1]) & (word[:-1] < n) & (word[1:] < n)
-            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            both &= self.pairs[at] == pair
-            found.append((of[1:] * n_terms + self.pair_terms[at])[both])
-        codes, count = np.unique(np.concatenate(found), return_counts=True)
+            both = np.flatnonzero((row[1:] == row[:-1]) & (word[:-1] < n) & (word[1:] < n))
+            at = np.minimum(np.searchsorted(self.pairs, pair[both]), len(self.pairs) - 1)
+            both, at = both[same := self.pairs[at] == pair[both]], at[same]
+            found.append(of[both + 1] * n_terms + self.pair_terms[at])
+        codes, count = distinct(np.concatenate(found))
         of, term = codes // n_terms, codes % n_terms
         raw = count * self.idf[term]
         norm = np.sqrt(np.bincount(of, raw * raw))
-        first = np.searchsorted(text, of)
-        keys = chunk.rows.column(key).combine_chunks().take(pa.array(first))
-        return pa.RecordBatch.from_arrays([keys, self.terms.take(pa.array(term)), pa.array(raw / norm[of])], [key, "term", "weight"])
+        return np.searchsorted(block.text, of), term, raw / norm[of]
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """Words ``(ord, word)``, each word of an entry's row once."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in read_blocks(batches):
+            row, code = block.words_of_rows()
+            yield pa.RecordBatch.from_arrays([block.keys.take(pa.array(row)), block.words.take(pa.array(code))], ["ord", "word"])
 
-def entry_words(corpus: DataFrame) -> DataFrame:
-    return corpus.select("ord", F.explode(word_tokens(F.col("text"))).alias("word"))
+    schema = StructType([StructField("ord", blocks.schema["keys"].dataType.elementType), StructField("word", StringType())])
+    return blocks.select(*BLOCK_WORDS).mapInArrow(listed, schema)
 
 
 def entry_runs(corpus: DataFrame) -> DataFrame:
@@ -315,26 +302,22 @@ def entry_runs(corpus: DataFrame) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, settings: IndexSettings = IndexSettings()) -> SearchIndex:
+    blocks = entry_blocks(corpus, settings)
     if settings.max_features == 0:
-        clustered = by_entry(corpus)
         vocab = _no_vocabulary(corpus.sparkSession)
         ord_type = corpus.schema["ord"].dataType.simpleString()
         weighed = corpus.sparkSession.createDataFrame([], f"ord {ord_type}, term STRING, weight DOUBLE")
-        words = entry_words(clustered)
     else:
-        tasks = _tasks(corpus, "text")
-        clustered = corpus.repartition(tasks, "ord")
-        listed = written(clustered.select("ord", all_words(F.col("text")).alias("listed")), "tokens")
-        vocab = vocabulary_of(listed, settings)
-        weighed = weights_of(listed.repartition(tasks, "ord"), "ord", vocab, settings)
-        words = listed.select("ord", F.explode(F.array_distinct("listed")).alias("word"))
+        vocab = vocabulary_of(blocks, settings)
+        weighed = weights_of(blocks, "ord", vocab, settings)
     return SearchIndex(
         entries=corpus.select("ord", "key", "entry_type"),
         vocabulary=vocab,
         terms=weighed,
-        words=words,
-        runs=entry_runs(clustered),
+        words=block_words(blocks),
+        runs=entry_runs(corpus),
         settings=settings,
+        blocks=blocks,
     )
 
 

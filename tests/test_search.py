@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import all_words, digit_runs
 from lodestar.operators import index as ix
 from lodestar.operators import ranking as rk
+from lodestar.operators.coded import blocks_of, read_blocks
 from lodestar.operators.corpus import build_corpus, dataset_texts
 from lodestar.session import fresh_path
 from lodestar.settings import IndexSettings, RankSettings
@@ -163,3 +165,37 @@ def test_few_and_many_questions_have_the_same_hits(spark, monkeypatch, few):
     want = collected(rk.top_pairs(rk.score_pairs(index, questions)).join(index.entries.select("ord", "key"), "ord"))
     monkeypatch.setattr(rk, "ALL_PAIRS_QUESTIONS", few)
     assert collected(rk.search(index, questions)) == want and want
+
+
+def test_coded_words_are_those_of_the_expressions(spark):
+    """Blocks hold the words and digit runs that Spark's expressions find, with any letters, cases, digits and spaces."""
+    texts = [
+        "Gene gene_2 ..12.3 4. x\u00b2 \u00c9T\u00c9 \u017dlu\u0165 \u023a\u2013\u201cq\u201d\x00a\u2028b", "\u0130stanbul 5", "\u03a3\u03bf\u03c6\u03bf\u03a3 7.", "\u4e2d\u6587 \u0663\u0664.\u0665",
+        "a\U0001f600b 9", "", None, ". . 1..2", "x\nY\r12",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord LONG, text STRING").repartition(2, "ord")
+    blocks = blocks_of(rows, "ord", STOP, 40)
+    got = {}
+    for batch in blocks.toArrow().select(list(ix.BLOCK_WORDS)).to_batches():
+        for block in read_blocks([batch]):
+            words, runs = block.words.to_pylist(), block.runs.to_pylist()
+            for row, key in enumerate(block.keys.to_pylist()):
+                of_row = [words[c] for c in block.codes[block.row == row]]
+                got[key] = (of_row, sorted(set(r for r, at in zip(runs, block.run_row) if at == row)))
+    want = rows.select("ord", all_words(F.col("text")).alias("words"), digit_runs(F.col("text")).alias("runs")).collect()
+    assert got == {r.ord: (list(r.words or []), sorted(r.runs or [])) for r in want} and len(got) == 9
+
+
+def test_few_questions_are_scored_in_the_blocks(spark, monkeypatch):
+    """No postings are written for few questions; hits, also of ties, of repeated and null ids, are those of all pairs."""
+    corpus, questions = many(spark)
+    questions = questions.unionByName(questions.where("query_id < 3").withColumn("text", F.concat("text", F.lit(" the gene 12 x120"))))
+    questions = questions.unionByName(questions.limit(1).withColumn("query_id", F.lit(None).cast("long")))
+    index = ix.build_index(corpus, IndexSettings(STOP, 30))
+
+    def hits(found):
+        return sorted((str(r.query_id), r.ord, r["rank"], round(r.score, 9), round(r.overlap, 9)) for r in found.collect())
+
+    want = hits(rk.top_pairs(rk.score_pairs(index, questions)))
+    monkeypatch.setattr(rk, "postings", None)
+    assert hits(rk.search(index, questions)) == want and len(want) > 50
