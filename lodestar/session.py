@@ -49,16 +49,19 @@ def broadcast_within(df: DataFrame, rows: int, bound: int) -> DataFrame:
 def with_ordinals(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with its place in the order of the columns ``order``, from 0 and without gaps.
 
-    Rows are range-sorted and written, and counted in each range; a range's rows follow those of the ranges before
-    it. What is added up in one place is one count per range.
+    Rows are range-sorted and written with their place in their range, and counted in each range; a range's rows follow
+    those of the ranges before it. What is added up in one place is one count per range, and these few go to every task,
+    so that the rows are shuffled once, however wide they are.
     """
-    ranges = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    table = written(ranges, "ranges")
+    sorted_ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = written(sorted_ranges.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    # The id holds the number of the range above its 33 lower bits, and below them the place there.
+    table = table.withColumn("_range", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = table.groupBy("_range").agg(F.count("*").alias("_rows"))
     moved = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return table.join(moved, "_range").withColumn(name, (place + F.col("_before")).cast("long")).drop("_range", "_before")
+    placed = table.join(F.broadcast(moved), "_range")
+    return placed.withColumn(name, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
 
 
 def drop_tables(spark: SparkSession) -> None:

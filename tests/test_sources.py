@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import MISSING_TOKENS
+from lodestar.session import with_ordinals
 from lodestar.sources import catalog as ct
 from lodestar.sources.delimited import file_headers, preview_rows, raw_heads, read_delimited
 from lodestar.sources.export import data_link, export_json, json_text
@@ -181,3 +182,18 @@ def test_quoted_records_shuffle_no_whole_lines(spark, tmp_path):
     placed = quoted.physical_lines(spark, str(tmp_path)).mapInArrow(quoted._placed, f"{quoted.LINES_SCHEMA}, passed long, if_outside long, if_inside long")
     assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.record for r in quoted.quoted_records(spark, str(tmp_path)).collect()) == ['1,"x\ny"', '2,"z"', "a,b"]
+
+
+def test_ordinals_shuffle_rows_once(spark):
+    values = [None, 7, 3, 3, None, 1, 9, 7, 2, 8]
+    rows = spark.createDataFrame([(value, f"text {i}") for i, value in enumerate(values)], "key INT, text STRING").repartition(4)
+    placed = with_ordinals(rows, ["key"], "pos")
+    assert placed.columns == ["key", "text", "pos"] and dict(placed.dtypes)["pos"] == "bigint"
+    found = sorted(placed.collect(), key=lambda r: r.pos)
+    assert [r.pos for r in found] == list(range(10))
+    assert [r.key for r in found] == sorted(values, key=lambda v: (v is not None, v or 0))
+    assert sorted(r.text for r in found) == [f"text {i}" for i in range(10)]
+    # The written rows are neither sorted by a window nor joined by shuffle again.
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "strategy=broadcast" in plan
+    assert with_ordinals(rows.limit(0), ["key"], "pos").count() == 0
