@@ -8,7 +8,8 @@ that many slots left out of it: such a pair always shares a key. Pairs are confi
 Texts with equal sets are one class, found by a 128-bit fingerprint. A key's classes are not paired with each other:
 each is compared with the one that shares most keys with others (a star), the nearest first, and only while the two
 are in different components. What still lies in different components under one key after these rounds is compared in
-full. So a group of n near copies costs about n comparisons, and no link between components is lost.
+full where it lies, and only pairs that full lists of short hashes allow become rows. So a group of n near copies gives
+about n rows, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ class MinHash:
     differ, where 12.8 are expected at a similarity of 0.8 and 23 are exceeded by less than one in a thousand pairs;
     of pairs further apart nearly all are found too. They are confirmed unless more than ``far`` of all 768 slots
     differ, where 154 are expected at 0.8 with a deviation of 11. A task compares ``block`` members of a key with as many.
+    Those with up to ``listed`` shingles are compared by their first ``first_slots`` slots (leaving out what lies six
+    deviations beyond the expected) and then by 16 bits of every shingle, which no similar pair fails.
     """
 
     shingle_words: int = 2
@@ -47,12 +50,24 @@ class MinHash:
     far: int = 200
     stars: int = 2
     block: int = 2048
+    listed: int = 1024
+    first_slots: int = 192
     seed: int = 3
 
     @property
     def guaranteed(self) -> int:
         return self.errors_per_chunk * self.chunks + self.chunks - 1
 
+    @property
+    def first_far(self) -> float:
+        """How many of the first slots may differ."""
+        differing = 1 - self.percent / 100
+        return self.first_slots * differing + 6 * (self.first_slots * differing * (1 - differing)) ** 0.5
+
+    def is_listed(self, size: int) -> bool:
+        """Whether a set's shingles are listed; of two sets that may be similar both are, or both have over ``listed``."""
+        return self.percent * size <= 100 * self.listed
+
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """For each text its distinct shingles, as sorted hashes; fewer words are one shingle, none are none."""
@@ -163,28 +178,59 @@ def near_enough(pairs: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame
     )
 
 
-def near_in_keys(member: DataFrame, classes: DataFrame, how: MinHash) -> DataFrame:
-    """``a, b`` of all near enough pairs of different components that share a key, each once.
+def near_in_keys(member: DataFrame, classes: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
+    """``a, b`` of all pairs of different components that share a key and may be similar enough, each once.
 
-    The members of a key are compared where they lie, in blocks, and only near pairs become rows; a pair is given
-    by the first of its keys. A key with many members is split into pairs of blocks.
+    The members of a key are compared where they lie, in blocks, and only pairs that pass become rows; a pair is given
+    by the first of its keys. A key with many members is split into pairs of blocks. Sets of up to ``listed`` shingles
+    bring 16 bits of each: the shingles of one whose bits the other has too are at least those that both share, so of a
+    group of texts that are nearly similar enough hardly a pair is given that is not. Larger ones bring all slots.
     """
-    left = _left_in(how)
+    left, width = _left_in(how), how.first_slots
     blocks = member.groupBy("key").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    slots = F.when(F.col("n_shingles") > how.listed, F.col("signature")).otherwise(F.substring("signature", 1, width))
+    brought = classes.select("node", "n_shingles", slots.alias("signature")).join(sets.select("node", "bits"), "node")
     rows = (
         member.join(blocks, "key")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(classes.select("node", "n_shingles", "signature"), "node")
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "part", "node", "label", "n_shingles", "signature")
+        .join(brought, "node")
+        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "part", "node", "label", "n_shingles", "signature", "bits")
     )
     group = ["key", "low", "high"]
 
     def compared(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, label, size, own = (part.column(c).to_numpy() for c in ("node", "label", "n_shingles", "own"))
         low, high, choice = part.column("low")[0].as_py(), part.column("high")[0].as_py(), part.column("part")[0].as_py()
-        slots = _slots(part.column("signature"))
+        signature = part.column("signature").to_pylist()
+        first = np.frombuffer(b"".join(s[:width] for s in signature), np.uint8).reshape(len(node), -1)
+        large = np.flatnonzero(size > how.listed)
+        whole = np.zeros((len(node) if len(large) else 0, how.slots), np.uint8)
+        for i in large.tolist():
+            whole[i] = np.frombuffer(signature[i], np.uint8)
+        listed = how.is_listed(size)
+        # The bits of a set's shingles in a row, filled up with 0, which is no shingle's.
+        sizes = np.where(listed, size, 0)
+        bits = np.zeros((len(node), sizes.max()), np.uint16)
+        bits[np.arange(bits.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint16)
+
+        def similar(i: int, rest: np.ndarray) -> np.ndarray:
+            if not len(rest):
+                return rest
+            # With one listed, both are, or their sizes differ too much.
+            both = listed[rest] & listed[i]
+            passed = np.zeros(len(rest), bool)
+            if both.any():
+                mine = np.zeros(1 << 16, bool)
+                mine[bits[i, : size[i]]] = True
+                others = rest[both]
+                shared = mine[bits[others, : size[others].max()]].sum(axis=1)
+                passed[both] = 100 * shared >= how.percent * (size[others] + size[i] - shared)
+            if not both.all():
+                passed[~both] = (whole[rest[~both]] != whole[i]).sum(axis=1) <= how.far
+            return rest[passed]
+
         found_a, found_b = [], []
         for i in range(len(node) - 1):
             rest = np.arange(i + 1, len(node))
@@ -192,14 +238,15 @@ def near_in_keys(member: DataFrame, classes: DataFrame, how: MinHash) -> DataFra
             if low != high:
                 fits &= own[rest] != own[i]
             rest = rest[fits]
-            differ = slots[rest] != slots[i]
-            near = differ.sum(axis=1) <= how.far
+            differ = first[rest] != first[i]
+            near = differ.sum(axis=1) <= how.first_far
             rest, differ = rest[near], differ[near]
             for earlier in left[:choice]:
                 if not len(rest):
                     break
                 again = ~differ[:, earlier].any(axis=1)
                 rest, differ = rest[~again], differ[~again]
+            rest = similar(i, rest)
             found_a.append(np.full(len(rest), node[i]))
             found_b.append(node[rest])
         return np.concatenate(found_a), np.concatenate(found_b)
@@ -243,7 +290,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: MinHash) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, how: MinHash, id_col: str, text_col: str) -> DataFrame:
-    """``node, set`` of the wanted classes, from the text of their first document."""
+    """``node, set, bits`` of the wanted classes, from the text of their first document; ``bits`` are the upper 16 of
+    every shingle (1 for 0), empty for sets too large to be listed."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,13 +301,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, how: MinHash
                 np.cumsum([len(one) for one in sets], out=offsets[1:])
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(begin, len(texts)), listed], ["node", "set"])
+                bits = [np.maximum(one >> np.uint64(48), 1).astype(np.uint16).tobytes() if how.is_listed(len(one)) else b"" for one in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(begin, len(texts)), listed, pa.array(bits, pa.binary())], ["node", "set", "bits"])
 
     first = classes.join(wanted, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     rows = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["text_hash"] == first["text_hash"])
     # Repeated rows have the same text, so one of them serves.
-    return rows.join(first, same).select("node", "text").dropDuplicates(["node"]).mapInArrow(made, "node long, set array<long>")
+    return rows.join(first, same).select("node", "text").dropDuplicates(["node"]).mapInArrow(made, "node long, set array<long>, bits binary")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,8 +343,10 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
         others = apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels)
         links, labels = joined_by(docs, others, links, classes, how, id_col, text_col)
     # What shares a key but is still in different components.
-    rest = near_in_keys(open_members(weighed, labels), classes, how).distinct()
-    links, labels = joined_by(docs, rest, links, classes, how, id_col, text_col)
+    member = open_members(weighed, labels)
+    sets = written(sets_of(docs, member.select("node").distinct(), classes, how, id_col, text_col), "sets")
+    rest = near_in_keys(member, classes, sets, how).distinct()
+    links, labels = joined_by(docs, rest, links, classes, how, id_col, text_col, sets)
 
     labelled = classes.select("fingerprint", "least_id", "node").join(labels, "node")
     smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -328,12 +379,14 @@ def starred(weighed: DataFrame, labels: DataFrame, round_: int = 0) -> DataFrame
 
 
 def joined_by(
-    docs: DataFrame, pairs: DataFrame, links: DataFrame, classes: DataFrame, how: MinHash, id_col: str, text_col: str
+    docs: DataFrame, pairs: DataFrame, links: DataFrame, classes: DataFrame, how: MinHash, id_col: str, text_col: str, sets: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """All links with those of the pairs that are confirmed, and the label ``node, label`` of every class."""
+    """All links with those of the pairs that are confirmed, and the label ``node, label`` of every class; ``sets`` are
+    those of the pairs' classes, if they are there already."""
     pairs = written(pairs.select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(docs, wanted, classes, how, id_col, text_col), "sets")
+    if sets is None:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = written(sets_of(docs, wanted, classes, how, id_col, text_col).select("node", "set"), "sets")
     links = links.union(written(confirmed(pairs, sets, how), "links"))
     labels = classes.select("node").join(components(links), "node", "left")
     return links, written(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")

@@ -1,7 +1,10 @@
 import random
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from lodestar.llm import near_dedup as nd
 from lodestar.llm.graph import components
 from lodestar.llm.near_dedup import MinHash, first_of_groups, near_duplicates, shingle_sets
 from tests.llm.cases import odd_rows, table, words
@@ -106,3 +109,30 @@ def test_components_of_a_long_path_and_a_hub(spark):
 def test_empty_table(spark):
     assert near_duplicates(table(spark, [])).count() == 0
     assert near_duplicates(table(spark, [(1, None), (2, "")])).where("kept").count() == 2
+
+
+@pytest.mark.parametrize("listed", [1024, 20])
+def test_group_of_nearly_similar_texts_gives_few_rows(spark, listed):
+    """Texts of which no two are similar enough, though their signatures are near, but for a few that are."""
+    texts = []
+    for i in range(16):
+        # Each changes 12 words of 400 that no other changes, nor their neighbours.
+        own = [f"own{i}x{at}" if at % 33 == 2 * i and at < 396 else f"w{at}" for at in range(400)]
+        texts.append(" ".join(own))
+        if i % 8 == 0:
+            texts.append(" ".join([*own[:-1], "end"]))
+    sets = [{*zip(t.split(), t.split()[1:])} for t in texts]
+    linked = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(linked) == 2
+    how = MinHash(listed=listed, seed=5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    signed = nd.signatures(docs, how, "doc_id", "text").withColumn("node", F.col("doc_id"))
+    classes = signed.withColumn("first", F.struct("doc_id", "text_hash"))
+    members = nd.index_keys(classes, how).withColumn("label", F.col("node"))
+    sets_of = nd.sets_of(docs, classes.select("node"), classes, how, "doc_id", "text")
+    found = nd.near_in_keys(members, classes, sets_of, how)
+    pairs = {(r.a, r.b) for r in found.collect()}
+    # Each is given once. Larger sets than are listed are told apart by their slots only.
+    assert found.count() == len(pairs) and pairs >= linked
+    assert len(pairs) < 10 if listed == 1024 else len(pairs) > 50
+    assert {(r.a, r.b) for r in nd.confirmed(found, sets_of, how).collect()} == linked
