@@ -19,14 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(both, "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
-        offered = edges.join(labels, edges["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        hooked = edges.join(labels, edges["a"] == labels["node"]).select("b", F.col("label").alias("to")).join(
-            labels, F.col("b") == F.col("node")
-        ).select(F.col("to").alias("node"), "label")
-        least = offered.union(hooked).union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        handed = edges.join(labels.select(F.col("node").alias("a"), "label"), "a")
+        # To the neighbour and to the node that its label names.
+        to = handed.join(labels.select(F.col("node").alias("b"), F.col("label").alias("root")), "b")
+        offered = to.select(F.explode(F.array("b", "root")).alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        least = offered.union(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = written(least.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
-        moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old")
-        if moved.isEmpty():
-            return new
-        labels = new
+        new = written(least.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
+        labels = new.select("node", "label")
+        if new.where("label <> old").isEmpty():
+            return labels

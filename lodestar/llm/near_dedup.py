@@ -6,8 +6,8 @@ has at most ``errors_per_chunk`` differing slots (pigeonhole), so a key is made
 that many slots left out of it: such a pair always shares a key. Pairs are confirmed on the full shingle sets.
 
 Texts with equal sets are one class, found by a 128-bit fingerprint. A key's classes are not paired with each other:
-each is compared with the one that shares most keys with others (a star), the nearest first, and only while the two
-are in different components. What still lies in different components under one key after these rounds is compared in
+each is compared with the one that shares most keys with others (a star), and only while the two are in different
+components. What still lies in different components under one key after these rounds is compared in
 full where it lies, and only pairs that full lists of short hashes allow become rows. So a group of n near copies gives
 about n rows, and no link between components is lost.
 """
@@ -334,14 +334,11 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash(), id_col: str = "do
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = written(members.select("key", "part", "node").join(weight, "node"), "weighed")
     labels = classes.select("node", F.col("node").alias("label"))
-    links, seen = spark.createDataFrame([], "a long, b long"), []
+    links = spark.createDataFrame([], "a long, b long")
     for round_ in range(how.stars):
-        pairs = written(near_enough(starred(weighed, labels, round_), classes, how), "pairs")
-        # The nearest one of each class first; the others only if they would join two components.
-        nearest = pairs.groupBy("b").agg(F.min(F.struct("distance", "a")).alias("n")).select("n.a", "b")
-        links, labels = joined_by(docs, nearest, links, classes, how, id_col, text_col)
-        others = apart(pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti"), labels)
-        links, labels = joined_by(docs, others, links, classes, how, id_col, text_col)
+        # One pair a class, so there is nothing to choose among.
+        pairs = near_enough(starred(weighed, labels, round_), classes, how)
+        links, labels = joined_by(docs, pairs, links, classes, how, id_col, text_col)
     # What shares a key but is still in different components.
     member = open_members(weighed, labels)
     sets = written(sets_of(docs, member.select("node").distinct(), classes, how, id_col, text_col), "sets")
@@ -392,15 +389,6 @@ def joined_by(
     return links, written(labels.select("node", F.coalesce("label", "node").alias("label")), "labels")
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-
-    def side(node: str) -> DataFrame:
-        return labels.select(F.col("node").alias(node), F.col("label").alias(f"label_{node}"))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").where("label_a <> label_b").select("a", "b")
-
-
 def first_of_groups(docs: DataFrame, how: MinHash = MinHash(shingle_words=5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their group, once each, with all columns."""
     kept = near_duplicates(docs, how, id_col, text_col).where("kept").select("doc_id", "text_hash").distinct()

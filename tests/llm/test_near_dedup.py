@@ -136,3 +136,12 @@ def test_group_of_nearly_similar_texts_gives_few_rows(spark, listed):
     assert found.count() == len(pairs) and pairs >= linked
     assert len(pairs) < 10 if listed == 1024 else len(pairs) > 50
     assert {(r.a, r.b) for r in nd.confirmed(found, sets_of, how).collect()} == linked
+
+
+def test_links_are_followed_once_a_round(spark, monkeypatch):
+    """A star round makes at most one pair a class, so its pairs are confirmed and followed in one step."""
+    rows, followed, kept = rows_with_copies(), [], nd.components
+    monkeypatch.setattr(nd, "components", lambda links: followed.append(1) or kept(links))
+    got = near_duplicates(table(spark, rows)).collect()
+    assert same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute(rows, 2))
+    assert len(followed) == MinHash().stars + 1
