@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Every text is read once. Matches of the base patterns and all tokens with a digit or @ (possible identifiers, with the
-two words before them) become rows; their places are running sums of what lies between them. Valid base matches, also
-those of several words, and tokens of a known form are seeds. The two words before the word that a token is, or that a
-base match begins in, are its pattern: patterns and values make a graph, without tokens that are a part of a base match
-or around one. In each round a pattern's confidence is the share of its values that are believed, and a value is believed by what its patterns
-say together. Tokens of confident patterns are identifiers too, though no base pattern knows their form.
+Every text is read for its stretches: tokens with a digit or @, which all that is looked for has, with the two words
+before them. All else is done in stretches. Matches of the base patterns and all tokens (possible identifiers, with the
+two words before them) become rows; their places are running sums of what lies between them and between stretches.
+Valid base matches, also those of several words, and tokens of a known form are seeds. The two words before the word that
+a token is, or that a base match begins in, are its pattern: patterns and values make a graph, without tokens that are a
+part of a base match or around one. In each round a pattern's confidence is the share of its values that are believed, and
+a value is believed by what its patterns say together. Tokens of confident patterns are identifiers too, though no base
+pattern knows their form.
 """
 
 from __future__ import annotations
@@ -31,21 +33,33 @@ PATTERNS = (
     r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-_TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]++"
+#: Before a word; not between the halves of a character beyond U+FFFF.
+_BEGIN = rf"(?<!{_WORD})(?![\x{{DC00}}-\x{{DFFF}}])"
+#: A token, from the beginning of its word on; a word that is none, with the gap behind it.
+_TOKEN, _PLAIN = rf"[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+", rf"[^\x20\x09-\x0D0-9@]++{_GAP}"
+#: What lies between tokens, and a token.
+_GAP_AND_TOKEN = rf"\G((?:[^0-9@]*[\x20\x09-\x0D])?+)({_TOKEN})"
 #: Nothing, at the first of two words before a token; the two words.
-_BEFORE_TOKEN = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9@]*+[0-9@])"
+_BEFORE_TOKEN = rf"{_BEGIN}(?=({_WORD}++{_GAP}{_WORD}++){_GAP}[^\x20\x09-\x0D0-9@]*+[0-9@])"
+#: What lies before a stretch; the stretch: two words, a token, and further tokens as long as no more than two words lie
+#: between them, or words of what may stand between the digits of a phone number. All tokens and matches of base patterns
+#: lie in stretches, with the two words before them and all that tells where they begin and end.
+_STRETCH = (
+    rf"\G(?=[^0-9@]*+[0-9@])([^0-9@]*{_BEGIN}(?=(?:{_PLAIN}){{2}}+[^\x20\x09-\x0D0-9@]*+[0-9@])|[\x20\x09-\x0D]*+)"
+    rf"((?:{_PLAIN}){{0,2}}+{_TOKEN}(?:{_GAP}(?:[().-]++{_GAP})*+(?:{_PLAIN}){{0,2}}+{_TOKEN})*+)"
+)
 _TOKEN_KIND, _NONE = len(KINDS), -1
 #: Kinds from here on, less this, are of base matches that seed the pattern in ``left``; they have no place.
 _SEED_KIND = 10
 
 # Marks around the valid matches of a copy of the text; the text's own ones are replaced.
 _OPEN, _CLOSE, _OTHER = "\x01", "\x02", "\ufffd"
-_WORD, _GAP = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]++"
 #: What every valid match has in it, which is found faster.
 _NEEDED = ("@", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){12}", r"\+[0-9]")
 #: Nothing, at the first of two words before a word in which valid matches begin; the two words and the matches.
 _BEFORE_MATCH = (
-    rf"(?<!{_WORD})(?=({_WORD}++{_GAP}{_WORD}++){_GAP}"
+    rf"{_BEGIN}(?=({_WORD}++{_GAP}{_WORD}++){_GAP}"
     rf"([^\x20\x09-\x0D\x01]*+(?=\x01)(?:\x01[^\x20\x09-\x0D\x02]*+\x02[^\x20\x09-\x0D\x01]*+)*+(?:\x01[^\x02]*+\x02)?+))"
 )
 
@@ -62,40 +76,64 @@ class Bootstrap:
     confidence: float = 0.8
 
 
-def _entries(text: Column, kind: int, pattern: str, before: Column | None = None) -> Column:
-    """Matches in order, each with the length of what lies between it and the one before.
+def stretches(text: Column) -> Column:
+    """``_STRETCH`` all over a text: each with the length of what lies between it and the one before; an empty one if there is none."""
+    none = F.array(F.struct(F.lit(0).alias("skipped"), F.lit("").alias("words")))
+    skipped, words = (F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(i)) for i in (1, 2))
+    found = F.zip_with(skipped, words, lambda x, y: F.struct(F.length(x).alias("skipped"), y.alias("words")))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
-    ``before`` has the two words before each token, but for those with fewer words before them, which are the first ones.
-    """
-    zipped = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("value")),
-    )
-    found = F.filter(zipped, lambda x: x["value"].isNotNull())
-    if before is None:
-        left = F.transform(found, lambda x: F.lit(""))
-    else:
-        fewer = F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) - F.size(before)
-        left = F.concat(F.array_repeat(F.lit(""), fewer), before)
-    return F.transform(
-        F.zip_with(found, left, lambda x, y: F.struct(x["gap"].alias("gap"), x["value"].alias("value"), y.alias("left"))),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), x["gap"].alias("gap"), x["value"].alias("value"), x["left"].alias("left")),
-    )
 
+def _entry(kind: int, place: Column, gap: Column, value: Column, left: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), place.alias("place"), gap.alias("gap"), value.alias("value"), left.alias("left"))
 
-def _marked(text: Column, kind: int) -> Column:
-    """The text with marks around the valid matches of a base pattern; null if it can have none."""
-    pattern = PATTERNS[kind]
+
+def _or_none(entries: Column) -> Column:
+    return F.coalesce(entries, F.array().cast("array<struct<kind:int,place:int,gap:int,value:string,left:string>>"))
+
+
+def _pieces(text: Column, kind: int) -> Column:
+    """The text cut behind every match of a base pattern, with a mark before the match; null if it can have no valid one."""
     shown = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
-    marked = F.zip_with(
-        F.split(shown, pattern, -1),
-        F.regexp_extract_all(shown, F.lit(pattern), F.lit(0)),
-        lambda gap, match: F.when(match.isNull(), gap)
-        .when(valid(F.lit(kind), match), F.concat(gap, F.lit(_OPEN), match, F.lit(_CLOSE)))
-        .otherwise(F.concat(gap, match)),
+    return F.when(text.rlike(_NEEDED[kind]), F.split(F.regexp_replace(shown, PATTERNS[kind], f"{_OPEN}$0{_CLOSE}"), _CLOSE, -1))
+
+
+def _has_match(piece: Column) -> Column:
+    return F.contains(piece, F.lit(_OPEN))
+
+
+def _match(piece: Column) -> Column:
+    return F.substring_index(piece, _OPEN, -1)
+
+
+def _entries(pieces: Column, kind: int) -> Column:
+    """Matches in order, each with the length of what lies between it and the one before."""
+    return _or_none(
+        F.transform(F.filter(pieces, _has_match), lambda p, i: _entry(kind, i, F.length(F.substring_index(p, _OPEN, 1)), _match(p), F.lit("")))
+    )
+
+
+def _token_entries(text: Column) -> Column:
+    """Tokens in order, as ``_entries``, with the two words before each."""
+    gaps, values = (F.regexp_extract_all(text, F.lit(_GAP_AND_TOKEN), F.lit(i)) for i in (1, 2))
+    before = F.regexp_extract_all(text, F.lit(_BEFORE_TOKEN), F.lit(1))
+    # Those with fewer words before them are the first ones.
+    left = F.concat(F.array_repeat(F.lit(""), F.size(values) - F.size(before)), before)
+    found = F.arrays_zip(gaps.alias("gap"), values.alias("value"), left.alias("left"))
+    return F.transform(found, lambda x, i: _entry(_TOKEN_KIND, i, F.length(x["gap"]), x["value"], x["left"]))
+
+
+def _marked(pieces: Column, kind: int) -> Column:
+    """The pieces joined, with marks around the valid matches of the base pattern."""
+    return F.array_join(
+        F.transform(
+            pieces,
+            lambda p: F.when(~_has_match(p), p)
+            .when(valid(F.lit(kind), _match(p)), F.concat(p, F.lit(_CLOSE)))
+            .otherwise(F.translate(p, _OPEN, "")),
+        ),
+        "",
     )
-    return F.array_join(F.when(text.rlike(_NEEDED[kind]), marked), "")
 
 
 def _seeds(marked: Column, kind: int) -> Column:
@@ -110,32 +148,38 @@ def _seeds(marked: Column, kind: int) -> Column:
             lambda value: F.struct(value.alias("value"), F.translate(left, _OPEN + _CLOSE, "").alias("left")),
         ),
     )
-    return F.transform(
-        F.coalesce(F.flatten(given), F.array().cast("array<struct<value:string,left:string>>")),
-        lambda x, i: F.struct(F.lit(_SEED_KIND + kind).alias("kind"), i.alias("place"), F.lit(0).alias("gap"), x["value"].alias("value"), x["left"].alias("left")),
-    )
+    return _or_none(F.transform(F.flatten(given), lambda x, i: _entry(_SEED_KIND + kind, i, F.lit(0), x["value"], x["left"])))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_hash, kind, start, end, value, left`` of all matches, and a row of kind -1 for every document.
+    """``doc_id, text_hash, kind, start, end, value, left`` of all tokens and matches, and a row of kind -1 for every document.
 
-    Rows of ``_SEED_KIND`` and above are valid base matches once more, with the two words before them.
+    Rows of ``_SEED_KIND`` and above are valid base matches once more, with the two words before them. Matches are left
+    out where a stretch can have no valid one of their kind.
     """
-    text = F.col("text")
-    none = F.array(F.struct(F.lit(_NONE).alias("kind"), F.lit(0).alias("place"), F.lit(0).alias("gap"), F.lit("").alias("value"), F.lit("").alias("left")))
-    entries = [*[_entries(text, k, p) for k, p in enumerate(PATTERNS)], _entries(text, _TOKEN_KIND, _TOKEN, F.col("before_token"))]
-    texts = documents(docs, id_col, text_col).withColumns({f"marked_{k}": _marked(text, k) for k in range(len(PATTERNS))})
-    texts = texts.withColumn("before_token", F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(_BEFORE_TOKEN), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    seeds = [_seeds(F.col(f"marked_{k}"), k) for k in range(len(PATTERNS))]
-    rows = texts.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.concat(none, *entries, *seeds)).alias("m")
+    texts = documents(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    parts = texts.select("doc_id", "text_hash", F.posexplode(stretches(F.col("text"))).alias("stretch", "s")).select(
+        "doc_id", "text_hash", "stretch", "s.*", F.length("s.words").alias("size")
     )
-    doc = ["doc_id", "text_hash", "kind"]
+    kinds, words = range(len(PATTERNS)), F.col("words")
+    parts = parts.withColumns({f"pieces_{k}": _pieces(words, k) for k in kinds})
+    parts = parts.withColumns({f"marked_{k}": _marked(F.col(f"pieces_{k}"), k) for k in kinds})
+    none = F.when(F.col("stretch") == 0, F.array(_entry(_NONE, F.lit(0), F.lit(0), F.lit(""), F.lit(""))))
+    entries = [*[_entries(F.col(f"pieces_{k}"), k) for k in kinds], _token_entries(words)]
+    seeds = [_seeds(F.col(f"marked_{k}"), k) for k in kinds]
+    rows = parts.select(
+        "doc_id", "text_hash", "stretch", "skipped", "size", F.explode(F.concat(_or_none(none), *entries, *seeds)).alias("m")
+    )
+    doc = ["doc_id", "text_hash"]
     # Repeated rows give the same matches, which count once.
-    once = rows.select("doc_id", "text_hash", "m.*").dropDuplicates([*doc, "place"])
-    so_far = Window.partitionBy(*doc).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.length("value")).over(so_far)
-    return once.withColumn("end", end).select(*doc, (F.col("end") - F.length("value")).alias("start"), "end", "value", "left")
+    once = rows.select(*doc, "stretch", "skipped", "size", "m.*").dropDuplicates([*doc, "stretch", "kind", "place"]).repartition(*doc)
+    # Every stretch has a first token, and no place in a stretch is known but by the sizes of those before it.
+    moved = F.when((F.col("kind") == _TOKEN_KIND) & (F.col("place") == 0), F.col("skipped") + F.col("size"))
+    before = Window.partitionBy(*doc).orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*doc, "stretch", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.when(F.col("kind") == _NONE, 0).otherwise(F.col("skipped")) + F.sum(F.col("gap") + F.length("value")).over(so_far)
+    placed = once.withColumn("end", end).withColumn("end", F.col("end") + F.coalesce(F.sum(moved).over(before), F.lit(0)))
+    return placed.select(*doc, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value", "left")
 
 
 def _luhn(digits: Column) -> Column:

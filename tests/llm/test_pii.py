@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.pii import masked, matches, personal_data_summary, tokens
+from lodestar.llm.pii import masked, matches, personal_data_summary, stretches, tokens
 from tests.llm.cases import odd_rows, table
 
 PATTERNS = [
@@ -96,6 +97,38 @@ def test_tokens_have_the_two_words_before_them_whatever_they_are(spark):
     assert got == want and (0, "ab12cd34", "0000 key") in want
 
 
+def test_only_stretches_are_searched(spark):
+    plain = "plain words of prose, " * 5_000
+    texts = [plain, plain + "ring +1 ( 555 ) - 0100 now " + plain + "a b\t c7 one two a@b.co " + plain, "7 " + plain, "x 10.0.0.1\n"]
+    found = table(spark, list(enumerate(texts))).select("doc_id", F.posexplode(stretches(F.col("text"))).alias("place", "s"))
+    got = {(r.doc_id, r.place): (r.s.skipped, r.s.words) for r in found.collect()}
+    start = len(plain) - len("prose, ")
+    first = "prose, ring +1 ( 555 ) - 0100"
+    skipped = len(" now " + plain)
+    assert got == {
+        (0, 0): (0, ""), (1, 0): (start, first), (1, 1): (skipped, "a b\t c7 one two a@b.co"), (2, 0): (0, "7"), (3, 0): (0, "x 10.0.0.1"),
+    }
+
+
+def test_places_and_words_before_in_random_texts(spark):
+    pick = random.Random(3)
+    parts = ["a", " ", "  ", "\t", "\n", "+1", "+49 ", "4111 1111 1111 1111", "(555)", "- ", "( ", "@", "a@b.co", "10.0.0.1", "é", "😀", "\u2003", " some more words ", " w "]
+    rows = [(i, "".join(pick.choice(parts) for _ in range(pick.choice((3, 8, 20, 60))))) for i in range(400)]
+    docs = table(spark, rows)
+    found = matches(docs).where("kind = 5 AND length(value) >= 4 OR kind = -1")
+    got = {(r.doc_id, r.start, r.value, r.left) for r in found.collect()}
+    want = {(i, 0, "", "") for i, _ in rows}
+    for i, text in rows:
+        words = [(m.start(), m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        for j, (start, word) in enumerate(words):
+            if re.search("[0-9@]", word) and len(word) >= 4:
+                left = text[words[j - 2][0] : words[j - 1][0] + len(words[j - 1][1])] if j >= 2 else ""
+                want.add((i, start, word, left))
+    assert got == want
+    digests = {(r.doc_id, r.base_sha256) for r in personal_data_summary(docs).collect()}
+    assert digests == {(i, hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()) for i, t in rows}
+
+
 def test_masked_keeps_rows_and_columns(spark):
     docs = table(spark, [*odd_rows(), (20, "at a@b.co and 10.0.0.1 é")])
     out = masked(docs)
